@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rankloom.llm.model_names import linked_models
+from rankloom.llm.survivors import Claimed, Roles, survivors, true_values
 from rankloom.sources.tables import table
 
 
@@ -16,5 +18,44 @@ def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_models(*(table(spark, sf_dir, t) for t in ("hub_models", "usage_models", "orgs")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_matches)}
-SQL = {}
+def _catalog() -> Roles:
+    elo, down = F.col("arena_elo"), F.col("downloads")
+    return Roles(
+        "group_id", "row_id", "collector", "fetched_at", ("name", "or_id", "likes", "context_length"),
+        (
+            Claimed("arena_elo", (elo >= 500) & (elo <= 2500), F.round(elo, 1).cast("string")),
+            Claimed("hf_id", F.col("hf_id").rlike(r"^[^/\s]+/[^/\s]+$"), F.lower("hf_id")),
+            Claimed("downloads", (down >= 1) & (down <= 10**10), down.cast("string")),
+        ),
+    )
+
+
+def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors(table(spark, sf_dir, "catalog_rows"), table(spark, sf_dir, "collectors"), _catalog())
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_survivors(spark, sf_dir).select("group_id", "field_name", "row_id")
+
+
+def p5_true_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return true_values(table(spark, sf_dir, "catalog_rows"), _catalog())
+
+
+P5_FOUND = r"""
+WITH trusted AS (
+  SELECT r.*, coalesce(t.trust, 0) AS trust,
+         (name IS NOT NULL)::INT + (or_id IS NOT NULL)::INT + (likes IS NOT NULL)::INT + (context_length IS NOT NULL)::INT AS filled,
+         count(*) OVER (PARTITION BY group_id) AS rows
+  FROM catalog_rows r LEFT JOIN (SELECT collector, max(trust) AS trust FROM collectors GROUP BY collector) t USING (collector)
+), claims AS (
+  SELECT *, 'arena_elo' AS field_name FROM trusted WHERE arena_elo BETWEEN 500 AND 2500
+  UNION ALL SELECT *, 'downloads' FROM trusted WHERE downloads BETWEEN 1 AND 10000000000
+  UNION ALL SELECT *, 'hf_id' FROM trusted WHERE regexp_full_match(hf_id, '[^/\s]+/[^/\s]+')
+)
+SELECT group_id, field_name, row_id FROM claims WHERE rows >= 2
+QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust DESC, fetched_at DESC NULLS LAST, filled DESC, row_id) = 1
+"""
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p5_found, p5_survivors, p5_true_values)}
+SQL = {"p5_found": P5_FOUND}
