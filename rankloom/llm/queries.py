@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.llm.mixing import mixed
 from rankloom.llm.model_names import linked_models
+from rankloom.llm.packing import fill, packed
 from rankloom.llm.survivors import Claimed, Roles, survivors, true_values
 from rankloom.sources.tables import table
 
@@ -57,5 +59,34 @@ SELECT group_id, field_name, row_id FROM claims WHERE rows >= 2
 QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust DESC, fetched_at DESC NULLS LAST, filled DESC, row_id) = 1
 """
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p5_found, p5_survivors, p5_true_values)}
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only a text of more than a container's tokens has a second part."""
+    return p6_containers(spark, sf_dir).where("part = 1").select("doc_id")
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill(p6_containers(spark, sf_dir))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source")
+
+
+def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1].where("falls_short").select("source")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p5_found, p5_survivors, p5_true_values, p6_found, p6_containers, p6_fill, p7_found, p7_copies, p7_shares)}
 SQL = {"p5_found": P5_FOUND}
