@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.mixing import mixed
 from rankloom.llm.model_names import linked_models
 from rankloom.llm.packing import fill, packed
+from rankloom.llm.subjects import subject_posteriors, subjects_of
 from rankloom.llm.survivors import Claimed, Roles, survivors, true_values
 from rankloom.sources.tables import table
 
@@ -88,5 +89,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1].where("falls_short").select("source")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p5_found, p5_survivors, p5_true_values, p6_found, p6_containers, p6_fill, p7_found, p7_copies, p7_shares)}
+def p8_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects_of(p8_posteriors(spark, sf_dir), "doc_id")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents deal with each subject, and the mean share of their sentences."""
+    p = p8_posteriors(spark, sf_dir)
+    return p.groupBy("subject").agg(F.count_if(F.col("posterior") >= 0.5).alias("documents"), F.avg("share").alias("mean_share"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p5_found, p5_survivors, p5_true_values, p6_found, p6_containers, p6_fill, p7_found, p7_copies, p7_shares, p8_found, p8_posteriors, p8_composition)}
 SQL = {"p5_found": P5_FOUND}
