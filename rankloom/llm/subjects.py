@@ -211,26 +211,28 @@ def shares(docs: DataFrame, names: list[str], model: np.ndarray, prior: np.ndarr
     return docs.select("key", "text").mapInPandas(run, f"key {dict(docs.dtypes)['key']}, sentences bigint, shares array<double>")
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def calibrate(x: np.ndarray, y: np.ndarray, wanted: float = 0.22, held: float = 0.05, own_held: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     """Slope and intercept of each subject's logistic curve over the share. x, y: (documents, subjects).
 
-    The subjects' curves are held to the curve of all together, the more the fewer labels they have.
+    As some labels are wrong, the curve is fitted between two levels: how often documents without
+    the subject are labelled with it, and documents full of it are. The middle of the curve is held
+    (as by a normal prior) to `wanted` while labels say little, a subject's own to that of all.
     """
-
-    def fit(x: np.ndarray, y: np.ndarray, start: np.ndarray, hold: float) -> np.ndarray:
-        b, z = start.copy(), np.column_stack([x, np.ones(len(x))])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-            h = z.T @ (z * (p * (1 - p))[:, None]) + hold * np.eye(2)
-            step = np.linalg.solve(h, z.T @ (y - p) - hold * (b - start))
-            b += np.clip(step, -5, 5)
-            if np.abs(step).max() < 1e-8:
-                break
-        return b
-
-    whole = fit(x.ravel(), y.ravel(), np.array([20.0, -4.5]), ridge)
-    own = np.array([fit(x[:, c], y[:, c], whole, 1.0) for c in range(x.shape[1])]) if len(x) else np.tile(whole, (x.shape[1], 1))
-    return own[:, 0], own[:, 1]
+    edges = np.linspace(0, 1, 101)
+    mids, slopes = np.linspace(0.05, 0.5, 91), np.array([15.0, 20, 30, 40, 60, 80, 120])
+    at = (edges[:-1] + edges[1:]) / 2
+    tally = lambda v, w: np.histogram(v, edges, weights=w)[0]
+    n = np.array([tally(x[:, c], np.ones(len(x))) for c in range(x.shape[1])]).reshape(-1, 100)
+    hit = np.array([tally(x[:, c], y[:, c]) for c in range(x.shape[1])]).reshape(-1, 100)
+    low, high = ((hit[:, w].sum() + a) / (n[:, w].sum() + 20) for w, a in ((at < 0.05, 0.2), (at > 0.4, 19.0)))
+    curve = 1 / (1 + np.exp(-slopes[None, :, None] * (at[None, None, :] - mids[:, None, None])))
+    p = np.clip(low + (high - low) * curve, 1e-4, 1 - 1e-4)
+    fit = lambda n, hit: np.log(p) @ hit + np.log(1 - p) @ (n - hit)
+    whole = fit(n.sum(axis=0), hit.sum(axis=0)) - ((mids - wanted) ** 2 / held**2 / 2)[:, None]
+    i, j = np.unravel_index(whole.argmax(), whole.shape)
+    own = [mids[(fit(a, b)[:, j] - (mids - mids[i]) ** 2 / own_held**2 / 2).argmax()] for a, b in zip(n, hit)]
+    slope = np.full(x.shape[1], slopes[j])
+    return slope, -slope * np.array(own)
 
 
 def subject_posteriors(df: DataFrame, labels: DataFrame, subjects: DataFrame, key: str, text: str, *, background: str = "general", most_labelled: int = 50_000, **settings) -> DataFrame:
