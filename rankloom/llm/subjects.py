@@ -116,20 +116,24 @@ def complement_weights(counts: np.ndarray, background: int, smooth: float, blur:
     writing, which all subjects share, then say little, though there are many of them. Against the
     background, subjects stand together: its weight is the log-odds of a feature in it and in them.
     """
-    others = [c for c in range(counts.shape[1]) if c != background]
-    own, rest = counts[:, others], counts[:, background]
-    all_ = own.sum(axis=1)
-    out = np.zeros_like(counts)
-    if others:
-        even = own * (own.sum() / len(others) / np.maximum(own.sum(axis=0), 1e-9))
-        lack = even.sum(axis=1, keepdims=True) - even
-        w = np.log(lack.sum(axis=0) + smooth * len(counts)) - np.log(lack + smooth)
-        p = (even + blur) / (even.sum(axis=1, keepdims=True) + blur * len(others))
-        uneven = np.maximum(0, 1 + (p * np.log(p)).sum(axis=1) / np.log(len(others))) if len(others) > 1 else np.ones(len(counts))
-        out[:, others] = (w - w.mean(axis=1, keepdims=True)) * uneven[:, None]
-    odds = lambda x: np.log((x + smooth) / (x.sum() + smooth * len(x)))
-    out[:, background] = odds(rest) - odds(all_)
-    return out.astype(np.float32)
+    features, k = counts.shape
+    others = [c for c in range(k) if c != background]
+    totals = counts.sum(axis=0)
+    scale = totals[others].sum() / max(1, len(others)) / np.maximum(totals[others], 1e-9)
+    whole = (totals[others] * scale).sum() - totals[others] * scale + smooth * features
+    lift = np.log(totals[others].sum() + smooth * features) - np.log(totals[background] + smooth * features)
+    out = np.zeros(counts.shape, dtype=np.float32)
+    for i in range(0, features, 2**15):  # the steps between take far more room than the result
+        own, rest = counts[i : i + 2**15, others], counts[i : i + 2**15, background]
+        if others:
+            even = own * scale
+            sums = even.sum(axis=1, keepdims=True)
+            w = np.log(whole) - np.log(sums - even + smooth)
+            p = (even + blur) / (sums + blur * len(others))
+            uneven = np.maximum(0, 1 + (p * np.log(p)).sum(axis=1) / np.log(len(others))) if len(others) > 1 else np.ones(len(own))
+            out[i : i + 2**15, others] = (w - w.mean(axis=1, keepdims=True)) * uneven[:, None]
+        out[i : i + 2**15, background] = np.log(rest + smooth) - np.log(own.sum(axis=1) + smooth) + lift
+    return out
 
 
 def _pass(docs: DataFrame, names: list[str], model, prior: np.ndarray, background: int, in_background: float, features: int, weight: float, sharp: float) -> np.ndarray:
@@ -162,10 +166,11 @@ def _pass(docs: DataFrame, names: list[str], model, prior: np.ndarray, backgroun
 
     cols = [f"c{c}" for c in range(k)]
     sums = docs.select("text", "labels").mapInPandas(run, "feature int, " + ", ".join(f"{c} double" for c in cols))
-    rows = sums.groupBy("feature").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()  # at most `features` rows
-    held.unpersist()
-    out = np.zeros((features, k))
-    out[rows["feature"].to_numpy(dtype=int)] = rows[cols].to_numpy()
+    rows = sums.groupBy("feature").agg(*[F.sum(c).cast("float").alias(c) for c in cols]).toArrow()  # at most `features` rows
+    held.destroy()
+    out, at = np.zeros((features, k), dtype=np.float32), rows["feature"].to_numpy()
+    for c, name in enumerate(cols):
+        out[at, c] = rows[name].to_numpy()
     return out
 
 
@@ -256,10 +261,10 @@ def subject_posteriors(df: DataFrame, labels: DataFrame, subjects: DataFrame, ke
     n = known.count()
     if n > most_labelled:
         known = known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * most_labelled / n))
-    fit = known.select("shares", "labels").toPandas()  # at most about most_labelled rows
     others = [i for i in range(len(names)) if i != back]
-    x = np.array(fit["shares"].tolist()).reshape(-1, len(names))[:, others]
-    y = np.array([[float(i in set(map(int, l))) for i in others] for l in fit["labels"]]).reshape(-1, len(others))
+    each = [F.struct(F.col("shares")[i].alias("x"), F.array_contains("labels", i).alias("y")) for i in others]
+    fit = known.select(*[e[v].cast("float").alias(f"{v}{i}") for i, e in zip(others, each) for v in "xy"]).toArrow()  # at most about most_labelled rows
+    x, y = (np.column_stack([fit[f"{v}{i}"].to_numpy() for i in others]) if others else np.zeros((0, 0)) for v in "xy")
     slope, start = calibrate(x, y)
     each = F.array(*[F.struct(F.lit(names[i]).alias("subject"), F.col("shares")[i].alias("share"), (1 / (1 + F.exp(-(F.col("shares")[i] * float(slope[j]) + float(start[j]))))).alias("posterior")) for j, i in enumerate(others)])
     return found.select(F.col("key").alias(key), F.explode(each).alias("e")).select(key, "e.subject", "e.share", "e.posterior")
