@@ -195,7 +195,8 @@ def _against(group: DataFrame, by: list[str], pool: pd.DataFrame, keys: list[str
 
     kinds = dict(group.dtypes)
     head = ", ".join(f"`{c}` {kinds[c]}" for c in by)
-    return group.groupBy(*by).applyInPandas(one, f"{head}, rows bigint, alone double" if out == "alone" else f"{head}, place int, joint double, without double")
+    spread = group.repartition(2 * group.sparkSession.sparkContext.defaultParallelism, *by)  # few bytes, but much work
+    return spread.groupBy(*by).applyInPandas(one, f"{head}, rows bigint, alone double" if out == "alone" else f"{head}, place int, joint double, without double")
 
 
 def load_shifts(df: DataFrame, load: str, rules: list[ColumnRule], *, threshold: float = 0.57, noise: float = 4.0, ridge: float = 1.0) -> DataFrame:
@@ -233,12 +234,13 @@ def _ablated(df: DataFrame, load: str, rules: list[ColumnRule], counts: DataFram
     at = {r.column_name: list(r.cuts) for r in cuts.itertuples()}
     code = []
     for i, r in enumerate(rules):
-        v = _read(df, r)
+        v = F.col(f"v{i}")
         band = sum((F.when(v["x"] >= float(c), 1).otherwise(0) for c in at.get(r.column, [])), F.lit(USABLE))
         code.append(F.when(v["kind"] == USABLE, band).otherwise(v["kind"]).cast("int").alias(f"c{i}"))
     names = [f"c{i}" for i in range(len(rules))]
     halves = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(2)).cast("int")
-    coarse = stored(df.select(F.col(f"`{load}`").alias("load"), halves.alias("fold"), *code).groupBy("load", "fold", *names).agg(F.count("*").alias("n")))
+    read = df.select(F.col(f"`{load}`").alias("load"), halves.alias("fold"), *[_read(df, r).alias(f"v{i}") for i, r in enumerate(rules)])
+    coarse = stored(read.select("load", "fold", *code).groupBy("load", "fold", *names).agg(F.count("*").alias("n")))
     bad = found.groupBy("load").agg(F.max(F.col("shifted").cast("int")).alias("bad")).select(F.col("load").alias("l"), "bad")
     marked = coarse.join(bad, F.col("load").eqNullSafe(F.col("l"))).select("load", F.lit("").alias("column_name"), "fold", *names, "n", (1 - F.col("bad")).alias("pooled"))
     pool = marked.where("pooled = 1").groupBy("column_name", "fold", *names).agg(F.sum("n").alias("n")).toPandas()  # bounded by the combinations of bands
