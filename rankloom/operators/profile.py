@@ -63,6 +63,11 @@ def _read(df: DataFrame, rule: ColumnRule) -> Column:
     return F.struct(what.alias("kind"), F.when(what >= IMPOSSIBLE, x).alias("x"), F.when(what == MALFORMED, c.cast("string")).alias("raw"))
 
 
+def _half(df: DataFrame) -> Column:
+    """0 or 1 by a hash of the row's columns (of those that can be hashed)."""
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if not any(x in t for x in ("map<", "variant", "void"))]), F.lit(2)).cast("int")
+
+
 def value_counts(df: DataFrame, load: str, rules: list[ColumnRule]) -> DataFrame:
     """load, column_name, kind, x, raw, fold, n: how often each value occurs in each load.
 
@@ -70,8 +75,7 @@ def value_counts(df: DataFrame, load: str, rules: list[ColumnRule]) -> DataFrame
     the map side, so that a load or a value with very many rows takes no more room than others.
     """
     one = F.explode(F.array(*[F.struct(F.lit(r.column).alias("column_name"), _read(df, r).alias("v")) for r in rules])).alias("e")
-    halves = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(2)).cast("int")
-    return df.select(F.col(f"`{load}`").alias("load"), halves.alias("fold"), one).groupBy("load", "e.column_name", "e.v.kind", "e.v.x", "e.v.raw", "fold").agg(F.count("*").alias("n"))
+    return df.select(F.col(f"`{load}`").alias("load"), _half(df).alias("fold"), one).groupBy("load", "e.column_name", "e.v.kind", "e.v.x", "e.v.raw", "fold").agg(F.count("*").alias("n"))
 
 
 def column_profile(df: DataFrame, load: str, rules: list[ColumnRule]) -> DataFrame:
@@ -199,7 +203,7 @@ def _against(group: DataFrame, by: list[str], pool: pd.DataFrame, keys: list[str
     return spread.groupBy(*by).applyInPandas(one, f"{head}, rows bigint, alone double" if out == "alone" else f"{head}, place int, joint double, without double")
 
 
-def load_shifts(df: DataFrame, load: str, rules: list[ColumnRule], *, threshold: float = 0.57, noise: float = 4.0, ridge: float = 1.0) -> DataFrame:
+def load_shifts(df: DataFrame, load: str, rules: list[ColumnRule], *, threshold: float = 0.57, noise: float = 3.0, ridge: float = 1.0) -> DataFrame:
     """How well each load's values of each column can be told from those of the ordinary loads.
 
     Gives load, column_name, rows, alone (cross-fitted discrimination of a logistic regression that
@@ -238,8 +242,7 @@ def _ablated(df: DataFrame, load: str, rules: list[ColumnRule], counts: DataFram
         band = sum((F.when(v["x"] >= float(c), 1).otherwise(0) for c in at.get(r.column, [])), F.lit(USABLE))
         code.append(F.when(v["kind"] == USABLE, band).otherwise(v["kind"]).cast("int").alias(f"c{i}"))
     names = [f"c{i}" for i in range(len(rules))]
-    halves = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(2)).cast("int")
-    read = df.select(F.col(f"`{load}`").alias("load"), halves.alias("fold"), *[_read(df, r).alias(f"v{i}") for i, r in enumerate(rules)])
+    read = df.select(F.col(f"`{load}`").alias("load"), _half(df).alias("fold"), *[_read(df, r).alias(f"v{i}") for i, r in enumerate(rules)])
     coarse = stored(read.select("load", "fold", *code).groupBy("load", "fold", *names).agg(F.count("*").alias("n")))
     bad = found.groupBy("load").agg(F.max(F.col("shifted").cast("int")).alias("bad")).select(F.col("load").alias("l"), "bad")
     marked = coarse.join(bad, F.col("load").eqNullSafe(F.col("l"))).select("load", F.lit("").alias("column_name"), "fold", *names, "n", (1 - F.col("bad")).alias("pooled"))
