@@ -194,14 +194,14 @@ def train(docs: DataFrame, names: list[str], background: int, *, features: int =
     return model, prior
 
 
-def shares(docs: DataFrame, names: list[str], model: np.ndarray, prior: np.ndarray, *, features: int = FEATURES, sharp: float = SHARP) -> DataFrame:
+def shares(docs: DataFrame, names: list[str], model: np.ndarray, prior: np.ndarray, *, sharp: float = SHARP) -> DataFrame:
     """key, sentences, shares (of each subject, in the order of names)."""
     held = docs.sparkSession.sparkContext.broadcast((model, prior))
     k = len(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, prior = held.value
-        reader = Reader(features)
+        reader = Reader(len(model))
         for pdf in batches:
             for i in range(0, len(pdf), BATCH):
                 part = pdf.iloc[i : i + BATCH]
@@ -256,7 +256,7 @@ def subject_posteriors(df: DataFrame, labels: DataFrame, subjects: DataFrame, ke
     texts = df.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("key"), F.col(text).alias("text"))
     docs = joined(texts, stored(given), "key", "left", most_rows=1_000_000)
     model, prior = train(docs, names, back, most_labelled=most_labelled, **settings)
-    found = stored(shares(docs, names, model, prior))
+    found = stored(shares(docs, names, model, prior, sharp=settings.get("sharp", SHARP)))
     known = joined(found, stored(given), "key", "inner", most_rows=1_000_000)
     n = known.count()
     if n > most_labelled:
@@ -267,6 +267,7 @@ def subject_posteriors(df: DataFrame, labels: DataFrame, subjects: DataFrame, ke
     x, y = (np.column_stack([fit[f"{v}{i}"].to_numpy() for i in others]) if others else np.zeros((0, 0)) for v in "xy")
     slope, start = calibrate(x, y)
     each = F.array(*[F.struct(F.lit(names[i]).alias("subject"), F.col("shares")[i].alias("share"), (1 / (1 + F.exp(-(F.col("shares")[i] * float(slope[j]) + float(start[j]))))).alias("posterior")) for j, i in enumerate(others)])
+    each = each.cast("array<struct<subject:string,share:double,posterior:double>>")
     return found.select(F.col("key").alias(key), F.explode(each).alias("e")).select(key, "e.subject", "e.share", "e.posterior")
 
 
