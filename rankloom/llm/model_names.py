@@ -42,15 +42,15 @@ def org_part(identifier: Column) -> Column:
 
 
 def name_part(identifier: Column) -> Column:
-    """Behind the organisation, without a variant like ':free'."""
-    return F.substring_index(F.substring_index(identifier, "/", -1), ":", 1)
+    """Behind the organisation, without a variant like ':free' or '@0612'."""
+    return F.regexp_replace(F.substring_index(identifier, "/", -1), "[:@].*$", "")
 
 
 def org_forms(orgs: DataFrame) -> DataFrame:
-    """form, org: every way to write a listed organisation: with an ending, or its first letter and a tail of three letters or more."""
+    """form, org: every way to write a listed organisation: with an ending, or its first letter and a tail of two letters or more."""
     listed = orgs.where("org is not null").select(F.lower("org").alias("org"), F.regexp_replace(F.lower("org"), "[^a-z0-9]", "").alias("o"))
     o = F.col("o")
-    tails = F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.length(o) - 1)), lambda i: F.concat(F.substring(o, 1, 1), F.right(o, i)))
+    tails = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length(o) - 1)), lambda i: F.concat(F.substring(o, 1, 1), F.right(o, i)))
     forms = F.array_union(F.array(o, *[F.concat(o, F.lit(e)) for e in ORG_ENDINGS]), tails)
     every = listed.select("org", "o", F.explode(forms).alias("form"))
     rank = F.when(F.col("form").startswith(F.col("o")), 0).otherwise(1)  # a full name goes before another's abbreviation

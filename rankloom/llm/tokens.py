@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import base64
+import sys
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
@@ -17,14 +17,17 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-@lru_cache(maxsize=2)
 def encoding(folder: str, vocabulary: str):
-    """Read once in each Python worker."""
+    """Read once in each Python process, whose `sys` keeps it: a function sent to a worker has no module there."""
     import tiktoken
 
+    kept = sys.__dict__.setdefault("_rankloom_encodings", {})
+    if (folder, vocabulary) in kept:
+        return kept[folder, vocabulary]
     lines = (Path(folder) / vocabulary).read_bytes().splitlines()
     ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line)}
-    return tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    kept[folder, vocabulary] = tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return kept[folder, vocabulary]
 
 
 def token_count(text: Column, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> Column:
