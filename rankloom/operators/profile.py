@@ -115,21 +115,16 @@ def cells(counts: DataFrame) -> DataFrame:
     """
     usable = counts.where(F.col("kind") == USABLE)
     cuts = usable.groupBy("column_name").agg(F.percentile_approx("x", CUTS, 2000).alias("cuts"))
-    values = counts.groupBy("column_name", "kind", "x", "load").agg(F.sum("n").alias("n"))
-    spread = values.where(F.col("kind") == USABLE).groupBy("column_name", "x").agg(F.count("*").alias("loads"))
-    loads = counts.agg(F.count_distinct("load", F.lit(1)).alias("a"), F.max(F.when(F.col("load").isNull(), 1).otherwise(0)).alias("b")).select((F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("all_loads"))
-    share = (F.col("loads") - 1) / F.greatest(F.col("all_loads") - 1, F.lit(1))
+    spread = usable.groupBy("column_name", "x", "load").agg(F.lit(1).alias("one")).groupBy("column_name", "x").agg(F.count("*").alias("loads"))
+    every = max(1, counts.select("load").distinct().count() - 1)
+    share = (F.col("loads") - 1) / every
     known = sum((F.when(share >= k, 1).otherwise(0) for k in KNOWN), F.when(share > 0, 1).otherwise(0))
     band = F.size(F.filter("cuts", lambda c: c <= F.col("x")))
-    is_usable = F.col("kind") == USABLE
-    return (
-        counts.join(spread, ["column_name", "x"], "left")
-        .join(F.broadcast(cuts), "column_name", "left")  # one row a column
-        .join(F.broadcast(loads))  # one row
-        .select("load", "column_name", "fold", "kind", *[F.when(is_usable, c).otherwise(-1).cast("int").alias(n) for n, c in (("band", band), ("digits", _digits(F.col("x"))), ("known", known))], "n")
-        .groupBy("load", "column_name", "fold", "kind", "band", "digits", "known")
-        .agg(F.sum("n").alias("n"))
-    )
+    codes = {"band": band, "digits": _digits(F.col("x")), "known": known}
+    seen = usable.join(spread, ["column_name", "x"]).join(F.broadcast(cuts), "column_name")  # cuts: one row a column
+    seen = seen.select("load", "column_name", "fold", "kind", *[c.cast("int").alias(n) for n, c in codes.items()], "n")
+    others = counts.where(F.col("kind") != USABLE).select("load", "column_name", "fold", "kind", *[F.lit(-1).alias(n) for n in codes], "n")
+    return seen.unionByName(others).groupBy("load", "column_name", "fold", "kind", *codes).agg(F.sum("n").alias("n"))
 
 
 def _one_hot(codes: np.ndarray) -> np.ndarray:
