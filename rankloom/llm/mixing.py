@@ -96,9 +96,9 @@ def mixed(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, *
     lines = [(s, share, None if m == 2**31 else int(m), own[s], goal[s], own[s] * m < goal[s]) for s, (share, m) in listed.items()]
     report = spark.createDataFrame(lines, "source string, target_share double, max_repeats int, own_tokens bigint, target_tokens double, falls_short boolean").join(got, "source", "left")
     mix = F.coalesce("mixed_tokens", F.lit(0))
-    whole = got.agg(F.coalesce(F.sum("mixed_tokens"), F.lit(0)).alias("whole"))
-    report = report.join(F.broadcast(whole)).select(  # one row
-        "source", "target_share", "max_repeats", "own_tokens", "target_tokens", mix.alias("mixed_tokens"), F.try_divide(mix, "whole").alias("reached_share"),
+    whole = F.sum(mix).over(Window.partitionBy(F.lit(0)))  # of the listed sources, a row each
+    report = report.select(
+        "source", "target_share", "max_repeats", "own_tokens", "target_tokens", mix.alias("mixed_tokens"), F.try_divide(mix, whole).alias("reached_share"),
         F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("copies", F.lit(0)).alias("copies"), "falls_short",
     )
     return copies, report
