@@ -9,7 +9,7 @@ from rankloom.llm.mixing import mixed
 from rankloom.llm.model_names import linked_models
 from rankloom.llm.packing import fill, packed
 from rankloom.llm.subjects import subject_posteriors, subjects_of
-from rankloom.llm.survivors import Claimed, Roles, survivors, true_values
+from rankloom.llm.survivors import Claimed, Roles, records, survivors, true_values
 from rankloom.sources.tables import table
 
 
@@ -26,9 +26,9 @@ def _catalog() -> Roles:
     return Roles(
         "group_id", "row_id", "collector", "fetched_at", ("name", "or_id", "likes", "context_length"),
         (
-            Claimed("arena_elo", (elo >= 500) & (elo <= 2500), F.round(elo, 1).cast("string")),
-            Claimed("hf_id", F.col("hf_id").rlike(r"^[^/\s]+/[^/\s]+$"), F.lower("hf_id")),
-            Claimed("downloads", (down >= 1) & (down <= 10**10), down.cast("string")),
+            Claimed("arena_elo", (elo >= 500) & (elo <= 2500), F.round(elo, 1).cast("string"), elo.cast("string")),
+            Claimed("hf_id", F.col("hf_id").rlike(r"^[^/\s]+/[^/\s]+$"), F.lower("hf_id"), F.col("hf_id")),
+            Claimed("downloads", (down >= 1) & (down <= 10**10), down.cast("string"), down.cast("string")),
         ),
     )
 
@@ -41,6 +41,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_survivors(spark, sf_dir).select("group_id", "field_name", "row_id")
 
 
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record built for each group, with its fields in their types."""
+    found = records(p5_survivors(spark, sf_dir), "group_id", ["arena_elo", "hf_id", "downloads"])
+    return found.select("group_id", F.col("arena_elo").cast("double"), "hf_id", F.col("downloads").cast("bigint"))
+
+
 def p5_true_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return true_values(table(spark, sf_dir, "catalog_rows"), _catalog())
 
@@ -103,5 +109,10 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("subject").agg(F.count_if(F.col("posterior") >= 0.5).alias("documents"), F.avg("share").alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p5_found, p5_survivors, p5_true_values, p6_found, p6_containers, p6_fill, p7_found, p7_copies, p7_shares, p8_found, p8_posteriors, p8_composition)}
-SQL = {"p5_found": P5_FOUND}
+QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p5_found, p5_survivors, p5_records, p5_true_values, p6_found, p6_containers, p6_fill, p7_found, p7_copies, p7_shares, p8_found, p8_posteriors, p8_composition)}
+P5_RECORDS = f"""
+SELECT group_id, max(CASE WHEN field_name = 'arena_elo' THEN c.arena_elo END) AS arena_elo, max(CASE WHEN field_name = 'hf_id' THEN c.hf_id END) AS hf_id, max(CASE WHEN field_name = 'downloads' THEN c.downloads END) AS downloads
+FROM ({P5_FOUND}) f JOIN catalog_rows c USING (group_id, row_id) GROUP BY group_id
+"""
+
+SQL = {"p5_found": P5_FOUND, "p5_records": P5_RECORDS}
