@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.numbers import dollars_per_million, round1
+from rankloom.operators.score import numbered
 from rankloom.sources.shared import joined, stored
 
 SLIM = ("key", "name", "rank", "score", "intelligence_index", "coding_index", "usage_rank", "arena_elo", "price_completion", "noise", "sources")
@@ -72,8 +73,10 @@ def _leader() -> Column:
 def _in_order(df: DataFrame, *lead: str) -> DataFrame:
     """One row an event, with ord: the leader first, then by rank, and of a row's events by their place."""
     each = df.select(*lead, "place", F.posexplode("events").alias("pos", "e"))
-    w = Window.partitionBy(*lead).orderBy("place", "e.key", "pos")
-    return each.withColumn("ord", F.row_number().over(w)).select(*lead, "ord", "e.*")
+    order = [F.col("place"), F.col("e.key"), F.col("pos")]
+    if not lead:
+        return numbered(each, order, "ord").select("ord", "e.*")
+    return each.withColumn("ord", F.row_number().over(Window.partitionBy(*lead).orderBy(*order))).select(*lead, "ord", "e.*")
 
 
 def diff(prev: DataFrame, cur: DataFrame, ts: float, limits: Limits = Limits()) -> DataFrame:
@@ -90,8 +93,8 @@ def diff(prev: DataFrame, cur: DataFrame, ts: float, limits: Limits = Limits())
     was = prev.where("rank = 1").agg(F.min("key").alias("_was"))  # one row
     top = c.where("c.rank = 1").join(F.broadcast(was)).where(~F.col("_was").eqNullSafe(F.col("c.key"))).withColumn("ts", F.lit(float(ts)))
     top = top.select(F.lit(0).alias("place"), F.array(_leader()).alias("events"))
-    every = top.unionByName(rows).where(F.size("events") > 0).join(F.broadcast(some)).withColumn("_all", F.lit(0))
-    return _in_order(every, "_all").drop("_all")
+    every = top.unionByName(rows).where(F.size("events") > 0).join(F.broadcast(some))  # one row or none
+    return _in_order(every)
 
 
 def diff_history(df: DataFrame, series: str, snapshot: str, order: str, limits: Limits = Limits()) -> DataFrame:

@@ -89,18 +89,18 @@ def blended(df: DataFrame, signals: tuple[Signal, ...], weights: dict[str, float
     return wide.withColumns({"score": round1(score), "score_breakdown": F.map_filter(parts, lambda _, v: v.isNotNull())}).drop("_total", "_weight", "_quality")
 
 
-def numbered(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], out: str = "rank", kind: str = "int") -> DataFrame:
     """df with its rows' numbers 1, 2, ... in the order, which should be total.
 
     Rows are spread by range over the order and written; each part is numbered by itself and the
     sizes of the parts before are added. No task sees more than its part, unlike with a window
-    without partitions.
+    without partitions. kind is the numbers' type; more than 2^31 rows need bigint.
     """
     parts = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each part
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn("_place", place).join(F.broadcast(sizes), "_part").withColumn(out, (F.col("_before") + F.col("_place")).cast("int")).drop("_part", "_place", "_before")
+    return parts.withColumn("_place", place).join(F.broadcast(sizes), "_part").withColumn(out, (F.col("_before") + F.col("_place")).cast(kind)).drop("_part", "_place", "_before")
 
 
 def ranked(df: DataFrame, seq: str = "seq") -> DataFrame:

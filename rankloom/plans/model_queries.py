@@ -227,13 +227,12 @@ def yearly_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = sums.groupBy("ts").agg(F.min("total").alias("low"), F.max("total").alias("high"))
     rows = sums.join(F.broadcast(ends), "ts")  # a row a year
     x = (F.col("total") - F.col("low")) / F.when(F.col("high") == F.col("low"), F.lit(1.0)).otherwise(F.col("high") - F.col("low")) * 100.0
-    from pyspark.sql import Window
-
     key = F.col("o_custkey")
-    rank = F.row_number().over(Window.partitionBy("ts").orderBy(F.col("total").desc(), "o_custkey"))
-    none = F.lit(None).cast("double")
+    rows = score.numbered(rows.withColumn("x", x), [F.col("ts").asc(), F.col("total").desc(), key.asc()], "n_all", "bigint")
+    rows = rows.join(F.broadcast(rows.groupBy("ts").agg(F.min("n_all").alias("first"))), "ts")  # a row a year
+    none, x = F.lit(None).cast("double"), F.col("x")
     return rows.select(
-        "ts", F.concat(F.lit("c/"), key).alias("key"), F.concat(F.lit("Customer "), key).alias("name"), rank.alias("rank"), N.round1(x).alias("score"), none.alias("intelligence_index"), none.alias("coding_index"),
+        "ts", F.concat(F.lit("c/"), key).alias("key"), F.concat(F.lit("Customer "), key).alias("name"), (F.col("n_all") - F.col("first") + 1).cast("int").alias("rank"), N.round1(x).alias("score"), none.alias("intelligence_index"), none.alias("coding_index"),
         F.col("n").cast("int").alias("usage_rank"), none.alias("arena_elo"), (F.col("total") / F.col("n") / 1e9).alias("price_completion"), (key % 10 == 0).alias("noise"),
     )
 
