@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a new temporary one only where that is unset (tests)."""
@@ -27,9 +29,19 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes all tables that `stored` has written in this process; results that rest on them are void from then on."""
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def joined(large: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", *, most_rows: int = 2_000_000) -> DataFrame:
     """large joined with small, which is sent to all executors only if counted and found small.
 
