@@ -70,3 +70,12 @@ def best_pick(df: DataFrame, m: Machine, use: str = "score") -> DataFrame:
 def largest_fitting(m: Machine) -> float:
     """The size, in billions, that just fits."""
     return m.budget / (BYTES[m.quant] * OVERHEAD)
+
+
+def fit_summary(df: DataFrame, m: Machine, use: str = "score") -> str:
+    """The best pick in a line, or what would fit if nothing does."""
+    best = best_pick(df, m, use).select("name", "params_b", "need", "score").first()
+    kind = "UNIFIED" if m.unified else "VRAM"
+    if best is None:
+        return f"Nothing fits {m.budget:.0f}GB at {m.quant.upper()}. Try a smaller quant, or a model under ~{largest_fitting(m):.0f}B params."
+    return f"BEST PICK FOR {m.budget:.0f}GB {kind} @ {m.quant.upper()}: {best.name} · {best.params_b}B params · ~{best.need:.1f}GB to load · score {'—' if best.score is None else best.score}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.functions.numbers import nearest, percent_of
+from rankloom.functions.numbers import ago, nearest, percent_of
 from rankloom.functions.text import contains_text, filled
 
 
@@ -59,3 +59,25 @@ def badges(labels: dict[str, str]) -> Column:
     """Marks of the sources a row comes from, and AA where it has an intelligence index that is not 0."""
     marks = [F.when(F.array_contains("sources", s), m) for s, m in labels.items()]
     return F.array_compact(F.array(*marks, F.when(F.col("intelligence_index") != 0, "AA")))
+
+
+# How kinds of events are called.
+EVENT_LABELS = {"new_leader": "NEW #1", "new_model": "NEW MODEL", "big_climber": "CLIMBER", "price_drop": "PRICE DROP"}
+
+
+def feed_view(events: DataFrame, now: float, hub: str) -> DataFrame:
+    """Of each event: label, link (of keys with a slash), the headline before, at and after the name's first place, and its age."""
+    labels = F.create_map(*[F.lit(x) for kv in EVENT_LABELS.items() for x in kv])
+    name = F.coalesce("name", F.lit(""))
+    at = F.when(F.col("key").contains("/") & (name != ""), F.instr("headline", name)).otherwise(0)
+    cut = lambda a, n: F.substr("headline", a, n)
+    return events.select(
+        "ord", F.coalesce(F.try_element_at(labels, F.col("type")), "type").alias("label"), F.when(F.col("key").contains("/"), F.concat(F.lit(hub), "key")).alias("link"),
+        F.when(at > 0, cut(F.lit(1), at - 1)).otherwise(F.col("headline")).alias("before"), F.when(at > 0, name).otherwise("").alias("linked"),
+        F.when(at > 0, cut(at + F.length(name), F.length("headline"))).otherwise("").alias("after"), ago(nearest(F.lit(float(now)) - F.col("ts"))).alias("age"),
+    )
+
+
+def shown_of(shown: DataFrame, whole: DataFrame) -> DataFrame:
+    """One row: how many rows are shown, and of how many."""
+    return shown.agg(F.count("*").alias("shown")).join(F.broadcast(whole.agg(F.count("*").alias("all"))))  # one row each

@@ -148,3 +148,13 @@ def test_plans_stay_in_the_jvm(rows):
     df = score.blended(score.normalised(rows(FIVE, MODELS), score.MODEL_SIGNALS), score.MODEL_SIGNALS)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Window" not in plan
+
+
+def test_feed_view_and_summary(rows):
+    ev = rows([(1, "new_model", "o/a", "A(1)", "New A(1) is A(1).", 10.0), (2, "odd", "b", "B", "B there", 10.0), (3, "price_drop", "o/c", None, "cheap", 3700.0)], "ord int, type string, key string, name string, headline string, ts double")
+    got = [tuple(r) for r in views.feed_view(ev, 3700.0, "https://hub.example/").orderBy("ord").collect()]
+    assert got == [(1, "NEW MODEL", "https://hub.example/o/a", "New ", "A(1)", " is A(1).", "1h"), (2, "odd", None, "B there", "", "", "1h"), (3, "PRICE DROP", "https://hub.example/o/c", "cheap", "", "", "0s")]
+    assert tuple(views.shown_of(ev.where("ord > 1"), ev).first()) == (2, 3)
+    models = rows([("m", 16.0, True, False, 1, 50.0)], "name string, params_b double, local boolean, noise boolean, rank int, score double")
+    assert fit.fit_summary(models, fit.Machine()) == "BEST PICK FOR 24GB VRAM @ Q4: m · 16.0B params · ~10.6GB to load · score 50.0"
+    assert fit.fit_summary(models, fit.preset("CPU only")).startswith("Nothing fits 0GB at Q4")

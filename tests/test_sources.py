@@ -74,3 +74,60 @@ def test_sweep_skips_what_is_unchanged_and_goes_on_after_errors(spark, rows, tmp
 
     sweep(ticks, store, log, str(tmp_path / "c"), tell=tell).awaitTermination(120)
     assert store.count() == 2 and sorted(r.type for r in log.read().collect()) == ["new_leader", "new_model"] and told == [2]
+
+
+def test_service_end_to_end(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from rankloom.plans.model_queries import SIDES
+    from rankloom.plans.service import ModelIndex
+
+    (tmp_path / "hub.json").write_text(json.dumps([{"id": "o/x-7b", "downloads": 5, "likes": 1}, {"id": "o/y", "downloads": 9, "likes": 2}]))
+    usage = [{"id": "o/x", "name": "X 7B", "hugging_face_id": "o/x-7b", "benchmarks": {"artificial_analysis": {"intelligence_index": 50.0}}}, {"id": "p/z", "name": "Z", "benchmarks": {"artificial_analysis": {"intelligence_index": 60.0}}}]
+    (tmp_path / "usage.json").write_text(json.dumps({"data": usage}))
+    (tmp_path / "arena.csv").write_text("name,elo\ny,1200\n")
+    readers_ = {
+        "hub": lambda: readers.hub_rows(spark, str(tmp_path / "hub.json")).withColumn("ordinal", F.monotonically_increasing_id()),
+        "usage": lambda: readers.usage_rows(spark, str(tmp_path / "usage.json")),
+        "arena": lambda: readers.arena_rows(spark, str(tmp_path / "arena.csv")),
+    }
+    index = ModelIndex(spark, readers_, str(tmp_path / "work"), SIDES)
+    status, answer = index.models("intelligence:10,usage:0", refresh=True)
+    got = json.loads(answer)
+    assert status == 200 and got["count"] == 3 and got["weights"]["usage"] == 0.0 and got["models"][0]["key"] == "p/z" and {m_["key"]: m_["arena_elo"] for m_ in got["models"]}["o/y"] == 1200.0
+    assert json.loads(index.news())["snapshots"] == 1 and index.sweep() == 0
+    usage[0]["benchmarks"]["artificial_analysis"]["intelligence_index"] = 99.0
+    (tmp_path / "usage.json").write_text(json.dumps({"data": usage}))
+    said = []
+    index.sweep(said.append)
+    assert said and json.loads(index.news())["snapshots"] == 2 and json.loads(index.news(limit=1))["events"][0]["headline"] == said[0]
+    index.readers["hub"] = lambda: 1 / 0
+    index.ttl = -1
+    assert index.models()[0] == 502
+
+
+def test_download(tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    import pytest
+
+    from rankloom.sources.web import download
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path == "/ok" else 500)
+            self.end_headers()
+            self.wfile.write(self.headers["User-Agent"].encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    assert open(download(f"{base}/ok", str(tmp_path / "a"))).read() == "rankloom"
+    with pytest.raises(OSError):
+        download(f"{base}/bad", str(tmp_path / "b"))
+    assert not (tmp_path / "b").exists()
+    server.shutdown()
