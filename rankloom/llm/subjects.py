@@ -30,6 +30,10 @@ from rankloom.sources.shared import joined, stored
 FEATURES = 2**18
 #: Letters, numbers, ends of sentences, ends of lines.
 PIECES = re.compile(r"[^\W\d_]+|\d+|[.!?]+(?=[\s)\]\"'»”]|$)|\n")
+#: Remains of HTML: a tag's name, then only attributes with values (so that "a<b and c>d" stays text).
+TAG = re.compile(r"</?([a-z][a-z0-9]*)(?:\s+[a-z:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))*\s*/?>")
+#: Tags within a line; any other ends one.
+INLINE = frozenset("a abbr b cite code del em font i ins kbd mark q s small span strike strong sub sup tt u wbr".split())
 BATCH = 1000
 UNDECIDED = 1e-3
 #: Words of a sentence are not independent: their weights are toned down.
@@ -61,18 +65,24 @@ class Reader:
         return i
 
     def sentences(self, text: str) -> list[list[int]]:
-        """Words between ends. What lacks a stop (titles, tables) counts only if nothing has one."""
-        whole, rest, now = [], [], []
-        for p in PIECES.findall(mended(text).lower()):
+        """Words between ends, all of them. What lacks a stop (titles, tables) belongs to the next sentence, at the end to the last one; if nothing has a stop, lines are the sentences."""
+        units, lines, now = [], [], []
+        for p in PIECES.findall(TAG.sub(lambda t: " " if t[1] in INLINE else "\n", mended(text).lower())):
             if p == "\n" or p[0] in ".!?":
                 if now:
-                    (rest if p == "\n" else whole).append(now)
+                    lines.append(now)
                     now = []
+                    if p != "\n":
+                        units.append([w for line in lines for w in line])
+                        lines = []
             else:
                 now.append(self.word(p))
         if now:
-            rest.append(now)
-        return whole or rest
+            lines.append(now)
+        if not units:
+            return lines
+        units[-1].extend(w for line in lines for w in line)
+        return units
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """feature ids, the sentence of each, and the document of each sentence."""

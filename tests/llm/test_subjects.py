@@ -71,6 +71,15 @@ def test_sentences_and_mending():
     assert mended("FuÃŸball fÃ¼r alle") == "Fußball für alle" and mended("Ã alone") == "Ã alone" and mended("plain") == "plain"
 
 
+def test_every_word_is_in_a_sentence():
+    r = Reader(64)
+    lengths = lambda t: [len(s) for s in r.sentences(t)]
+    assert lengths("<p>One is here.<br>Two more!<br/>Is <b>this</b> three?</p>") == [3, 2, 3]
+    assert lengths("A title\n\nOne is here. Two.\n| a | b |\n| c | d |") == [5, 5]
+    assert lengths("A head<br>one <a href='x.y'>line</a><br>\nlast") == [2, 2, 1]
+    assert lengths("It holds if a<b and c>d. Done.") == [8, 1]
+
+
 def test_calibration_finds_the_middle():
     rng = np.random.default_rng(1)
     x = rng.choice([0.0, 0.1, 0.3, 0.5, 0.8], size=(4000, 3))
