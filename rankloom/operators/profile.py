@@ -107,21 +107,32 @@ def _digits(x: Column) -> Column:
     return F.least(F.lit(MOST_DIGITS), F.length(F.regexp_replace(mantissa, r"\.", "")))
 
 
-def cells(counts: DataFrame) -> DataFrame:
+def band_cuts(df: DataFrame, rules: list[ColumnRule]) -> dict[str, list[float]]:
+    """Where each column's bands begin: CUTS of its usable rows, so that a value weighs by how often it occurs.
+
+    Within a two-thousandth of the rows, by a sketch of fixed size over all rows: an exact quantile of the
+    counts would hold every distinct value in one task.
+    """
+    read = [_read(df, r) for r in rules]
+    row = df.agg(*[F.percentile_approx(F.when(v["kind"] == USABLE, v["x"]), CUTS, 2000) for v in read]).first()
+    return {r.column: c or [] for r, c in zip(rules, row)}
+
+
+def cells(counts: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     """load, column_name, fold, kind, band, digits, known, n: the counts by what a classifier may see of a value.
 
-    band: where the value lies among all usable values of the column; digits: its granularity;
+    band: where the value lies among all usable rows of the column (cuts: of band_cuts); digits: its granularity;
     known: in how many of the other loads the same value occurs.
     """
     usable = counts.where(F.col("kind") == USABLE)
-    cuts = usable.groupBy("column_name").agg(F.percentile_approx("x", CUTS, 2000).alias("cuts"))
     spread = usable.groupBy("column_name", "x", "load").agg(F.lit(1).alias("one")).groupBy("column_name", "x").agg(F.count("*").alias("loads"))
     every = max(1, counts.select("load").distinct().count() - 1)
     share = (F.col("loads") - 1) / every
     known = sum((F.when(share >= k, 1).otherwise(0) for k in KNOWN), F.when(share > 0, 1).otherwise(0))
-    band = F.size(F.filter("cuts", lambda c: c <= F.col("x")))
+    begins = F.create_map(*[y for name, c in cuts.items() for y in (F.lit(name), F.array(*[F.lit(float(v)) for v in c]).cast("array<double>"))])
+    band = F.size(F.filter(begins[F.col("column_name")], lambda c: c <= F.col("x")))
     codes = {"band": band, "digits": _digits(F.col("x")), "known": known}
-    seen = usable.join(spread, ["column_name", "x"]).join(F.broadcast(cuts), "column_name")  # cuts: one row a column
+    seen = usable.join(spread, ["column_name", "x"])
     seen = seen.select("load", "column_name", "fold", "kind", *[c.cast("int").alias(n) for n, c in codes.items()], "n")
     others = counts.where(F.col("kind") != USABLE).select("load", "column_name", "fold", "kind", *[F.lit(-1).alias(n) for n in codes], "n")
     return seen.unionByName(others).groupBy("load", "column_name", "fold", "kind", *codes).agg(F.sum("n").alias("n"))
@@ -212,7 +223,8 @@ def load_shifts(df: DataFrame, load: str, rules: list[ColumnRule], *, threshold:
     which there are as many as kinds, bands, digits and steps of known allow, however many rows.
     """
     counts = stored(value_counts(df, load, rules))
-    fine = stored(cells(counts))
+    cuts = band_cuts(df, rules)
+    fine = stored(cells(counts, cuts))
     keys = ["kind", "band", "digits", "known"]
 
     def alone(ordinary: DataFrame, marked: DataFrame) -> DataFrame:
@@ -224,17 +236,15 @@ def load_shifts(df: DataFrame, load: str, rules: list[ColumnRule], *, threshold:
     flags = first.select(F.col("load").alias("l"), F.col("column_name").alias("c"), "out")  # one row a load and column
     marked = fine.join(flags, F.col("load").eqNullSafe(F.col("l")) & (F.col("column_name") == F.col("c"))).withColumn("pooled", (~F.col("out")).cast("int")).drop("l", "c")
     second = stored(alone(marked.where(~F.col("out")), marked).withColumn("shifted", F.col("alone") > limit))
-    return _ablated(df, load, rules, counts, second, ridge)
+    return _ablated(df, load, rules, cuts, second, ridge)
 
 
-def _ablated(df: DataFrame, load: str, rules: list[ColumnRule], counts: DataFrame, found: DataFrame, ridge: float) -> DataFrame:
+def _ablated(df: DataFrame, load: str, rules: list[ColumnRule], cuts: dict[str, list[float]], found: DataFrame, ridge: float) -> DataFrame:
     """found with joint and lost. Rows are counted by their combination of coarse bands."""
-    cuts = counts.where(F.col("kind") == USABLE).groupBy("column_name").agg(F.percentile_approx("x", [CUTS[i] for i in COARSE], 2000).alias("cuts")).toPandas()  # a row a column
-    at = {r.column_name: list(r.cuts) for r in cuts.itertuples()}
     code = []
     for i, r in enumerate(rules):
         v = F.col(f"v{i}")
-        band = sum((F.when(v["x"] >= float(c), 1).otherwise(0) for c in at.get(r.column, [])), F.lit(USABLE))
+        band = sum((F.when(v["x"] >= float(c), 1).otherwise(0) for c in [cuts[r.column][j] for j in COARSE if cuts[r.column]]), F.lit(USABLE))
         code.append(F.when(v["kind"] == USABLE, band).otherwise(v["kind"]).cast("int").alias(f"c{i}"))
     names = [f"c{i}" for i in range(len(rules))]
     read = df.select(F.col(f"`{load}`").alias("load"), _half(df).alias("fold"), *[_read(df, r).alias(f"v{i}") for i, r in enumerate(rules)])

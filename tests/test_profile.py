@@ -51,3 +51,12 @@ def test_nulls_nothing_and_small_loads(rows):
 def test_repeated_rows(rows):
     data = [x for i in range(6) for x in load(i)]
     assert shifted(rows(data * 2, SCHEMA)) == []
+
+
+def test_bands_are_shares_of_rows(rows):
+    common = lambda r: f"0.1{r.randint(1, 9)}"
+    ends = lambda r: r.choice(["0.11", "0.19"])
+    stray = lambda r: f"{r.choice([r.uniform(0, 0.1), r.uniform(0.2, 1)]):.6f}"
+    with_strays = lambda usual: lambda r: usual(r) if r.random() < 0.75 else stray(r)
+    data = [x for i in range(12) for x in load(i, 400, with_strays(common))] + load(12, 400, with_strays(ends))
+    assert shifted(rows(data, SCHEMA)) == [(12, "price")]
