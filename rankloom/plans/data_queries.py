@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators.history import SnapshotSpec, attribute_history, snapshot_changes
-from rankloom.operators.profile import ColumnRule, column_profile, load_shifts
+from rankloom.operators.profile import ColumnRule, column_profile, column_shape, load_shifts
 from rankloom.plans import data_sql
 from rankloom.sources.tables import table
 
@@ -28,6 +28,11 @@ def p1_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("load_id", "column_name", "rows", "missing", "malformed", "impossible", "distinct_values", "lowest", "highest")
 
 
+def p1_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shape that belongs to each row of p1_profile."""
+    return column_shape(table(spark, sf_dir, "usage_loads"), "load_id", USAGE_RULES)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_changes(table(spark, sf_dir, "snapshots"), BOARDS).select("snapshot_id", "key", "change_kind")
 
@@ -45,5 +50,5 @@ def p3_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shifts, p1_profile, p2_found, p3_found, p3_versions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shifts, p1_profile, p1_shape, p2_found, p3_found, p3_versions)}
 SQL = {"p1_profile": data_sql.P1_PROFILE, "p2_found": data_sql.P2_FOUND, "p3_found": data_sql.P3_FOUND, "p3_versions": data_sql.P3_VERSIONS}

@@ -1,6 +1,7 @@
 import random
+import statistics
 
-from rankloom.operators.profile import ColumnRule, column_profile, load_shifts
+from rankloom.operators.profile import ColumnRule, column_profile, column_shape, load_shifts
 
 RULES = [ColumnRule("price", 0.0, 1.0), ColumnRule("size", 1, 10**6)]
 SCHEMA = "load bigint, price string, size bigint, x map<string,int>, kind string, n int, fold int, c0 string"
@@ -60,3 +61,17 @@ def test_bands_are_shares_of_rows(rows):
     with_strays = lambda usual: lambda r: usual(r) if r.random() < 0.75 else stray(r)
     data = [x for i in range(12) for x in load(i, 400, with_strays(common))] + load(12, 400, with_strays(ends))
     assert shifted(rows(data, SCHEMA)) == [(12, "price")]
+
+
+def test_shape(rows):
+    from rankloom.plans.data_queries import QUERIES
+
+    assert "p1_shape" in QUERIES
+    sizes = [2] * 50 + list(range(101, 151))
+    data = [(1, "bad", n, None, "", 0, 0, "") for n in [*sizes, None, -4]]
+    got = {(r.load, r.column_name): r for r in column_shape(rows(data + [(None,) * 8], SCHEMA), "load", RULES).collect()}
+    s, p = got[1, "size"], got[1, "price"]
+    assert abs(s["mean"] - statistics.mean(sizes)) < 1e-9 and abs(s.deviation - statistics.pstdev(sizes)) < 1e-9
+    assert (s.p05, s.p25, s.median, s.p75, s.p95) == (2, 2, 2, 125, 145)
+    assert set(got) == {(1, "size"), (1, "price"), (None, "size"), (None, "price")} and p["mean"] is p.deviation is p.p05 is p.p95 is None
+    assert column_shape(rows([], SCHEMA), "load", RULES).collect() == []
