@@ -1,11 +1,12 @@
 """Filling containers of fixed capacity with items of varying size, by sizes' counts.
 
-Items are routed to tiers by size. From the largest tier down, a tier's items first fill the gaps
-that containers of the tiers above have left (best fit), then open containers of their own. All of
-this is done on the counts of each size, of which there are at most as many as the capacity, so the
-plan takes no longer for more items; containers filled alike are one pattern with a number. Items
-then find their place by their number among the items of their size. At last containers are dealt
-to groups (steps) so that the groups' costs, the sums of squared sizes, come out even.
+This is best-fit decreasing: from the largest size down, items first fill the gaps of open containers
+(best fit), then open containers of their own. Tiers don't steer it, as all containers have one
+capacity; a container's tier is only a label, that of its largest item. All of this is done on the
+counts of each size, of which there are at most as many as the capacity, so the plan takes no longer
+for more items; containers filled alike are one pattern with a number. Items then find their place
+by their number among the items of their size. At last containers are dealt to groups (steps) so
+that the groups' costs, the sums of squared sizes, come out even.
 """
 
 from __future__ import annotations
