@@ -48,8 +48,9 @@ def _missing_as_null(df: DataFrame, name: str) -> Column:
 
 
 def _rows(df: DataFrame, spec: SnapshotSpec) -> DataFrame:
-    """s (snapshot), k (key) and v (version, then the compared values)."""
-    v = F.struct(F.col(f"`{spec.version}`").alias("at"), *[_missing_as_null(df, c).alias(f"f{i}") for i, c in enumerate(spec.fields)])
+    """s (snapshot), k (key) and v: version, the compared values, and the digest h of those."""
+    values = [_missing_as_null(df, c) for c in spec.fields]
+    v = F.struct(F.col(f"`{spec.version}`").alias("at"), *[x.alias(f"f{i}") for i, x in enumerate(values)], _digest(values).alias("h"))
     return df.select(F.col(f"`{spec.snapshot}`").alias("s"), tidy_key(F.col(f"`{spec.key}`")).alias("k"), v.alias("v")).where("s is not null and k is not null")
 
 
@@ -68,19 +69,24 @@ def series_of(df: DataFrame, spec: SnapshotSpec) -> DataFrame:
     return one.select("s", "series", F.row_number().over(w).alias("place"), F.lag("s").over(w).alias("before"), F.lead("s").over(w).alias("after"))
 
 
-def _digest(v: str, n: int) -> Column:
-    return F.xxhash64(*[F.col(f"{v}.f{i}") for i in range(n)])
+def _digest(values: list[Column]) -> Column:
+    """Of each value and whether it is there: Spark's hash by itself passes over nulls, so that (1, null) and (null, 1) would be one."""
+    return F.xxhash64(*[x for v in values for x in (v.isNull(), v)])
 
 
 def _differs(a: str, b: str, spec: SnapshotSpec) -> Column:
-    """Digests first; where they differ, the values themselves, so that tolerances are exact."""
+    """Rows of equal digests whose values are the same are settled; all others are compared value by value, with the tolerances.
+
+    So equal digests of unlike values hide nothing.
+    """
     found = F.lit(False)
     for i, tolerance in enumerate(spec.fields.values()):
         x, y = F.col(f"{a}.f{i}"), F.col(f"{b}.f{i}")
         far = F.abs(x - y) >= tolerance if tolerance else x != y
         found = found | (x.isNull() != y.isNull()) | F.coalesce(far, F.lit(False))
-    n = len(spec.fields)
-    return (_digest(a, n) != _digest(b, n)) & found
+    values = lambda v: F.struct(*[F.col(f"{v}.f{i}") for i in range(len(spec.fields))])
+    settled = (F.col(f"{a}.h") == F.col(f"{b}.h")) & values(a).eqNullSafe(values(b)) if spec.fields else F.lit(True)
+    return ~settled & found
 
 
 def snapshot_changes(df: DataFrame, spec: SnapshotSpec) -> DataFrame:

@@ -78,6 +78,23 @@ def test_tolerance_and_missing(rows, old, new, differs):
     assert changes(df) == ([(2, "a", "changed")] if differs else [])
 
 
+def test_a_value_that_moves_to_another_column_is_a_change(rows):
+    null_swap = [row(1, "m", 1, None, 5.0), row(2, "m", 1, 5.0, None), row(1, "n", None, 1.0, None), row(2, "n", None, None, 1.0), row(1, "o", 1, None, None), row(2, "o", None, 1.0, None)]
+    df = rows(null_swap, SCHEMA)
+    assert changes(df) == [(2, k, "changed") for k in "mno"]
+    assert history(df) == [("b", k, *v) for k in "mno" for v in ((1, 2), (2, -1))]
+
+
+def test_equal_digests_of_unlike_values_hide_nothing(rows, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from rankloom.operators import history as h
+
+    monkeypatch.setattr(h, "_digest", lambda values: F.lit(7).cast("bigint"))
+    df = rows([row(1, "a", 1), row(2, "a", 2), row(3, "a", 2)], SCHEMA)
+    assert changes(df) == [(2, "a", "changed")] and history(df) == [("b", "a", 1, 2), ("b", "a", 2, -1)]
+
+
 def test_nulls_and_nothing(rows):
     assert changes(rows([], SCHEMA)) == [] and history(rows([], SCHEMA)) == []
     null = (None,) * 12
@@ -91,7 +108,7 @@ def test_repeated_rows_and_ties_are_steady(rows):
     assert changes(rows(data, SCHEMA)) == changes(rows(data[::-1], SCHEMA)) == []
 
 
-small = st.tuples(st.integers(1, 5), st.sampled_from(["a", "B ", "b", None, ""]), st.sampled_from([1, 2, None]), st.sampled_from([1.0, 1.005, 2.0, float("nan"), None]), st.sampled_from([1e-6, 1e-6 + 1e-11, 2e-6, None]), st.integers(0, 2))
+small = st.tuples(st.integers(1, 5), st.sampled_from(["a", "B ", "b", None, ""]), st.sampled_from([1, 2, None]), st.sampled_from([1.0, 1.005, 2.0, 1e-6, float("nan"), None]), st.sampled_from([1e-6, 1e-6 + 1e-11, 2e-6, 1.0, None]), st.integers(0, 2))
 
 
 @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
