@@ -264,10 +264,10 @@ def subject_posteriors(df: DataFrame, labels: DataFrame, subjects: DataFrame, ke
     codes = F.create_map(*[F.lit(x) for kv in code.items() for x in kv])
     given = labels.where(F.col("subject").isin(names) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_set(codes[F.col("subject")])).alias("labels"))
     texts = df.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    docs = joined(texts, stored(given), "key", "left", most_rows=1_000_000)
+    docs = joined(texts, stored(given), "key", "left")
     model, prior = train(docs, names, back, most_labelled=most_labelled, **settings)
     found = stored(shares(docs, names, model, prior, sharp=settings.get("sharp", SHARP)))
-    known = joined(found, stored(given), "key", "inner", most_rows=1_000_000)
+    known = joined(found, stored(given), "key", "inner")
     n = known.count()
     if n > most_labelled:
         known = known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * most_labelled / n))
