@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import filled, to_number, to_price
+from rankloom.sources.shared import file_system, replace
 
 HUB = "id string, modelId string, downloads bigint, likes bigint, createdAt string, tags array<string>"
 USAGE = (
@@ -18,7 +19,11 @@ USAGE = (
 
 
 def hub_rows(spark: SparkSession, path: str, limit: int | None = 300, *, array: bool = True) -> DataFrame:
-    """A JSON array of hub records (array=False: a record a line, which can be read in parts): the `limit` most downloaded (None: all). Missing counts are 0, missing tags none."""
+    """Hub records as the source answers, a JSON array: the `limit` most downloaded (None: all). Missing counts are 0, missing tags none.
+
+    An array is read by one task a file, which suits an answer of 300 records. For whole dumps give
+    array=False: a record a line, which is read in parts.
+    """
     raw = spark.read.schema(HUB).json(path, multiLine=array)
     rows = raw.select(
         F.coalesce(filled(F.col("id")), F.col("modelId")).alias("hf_id"), F.coalesce("downloads", F.lit(0)).alias("downloads"), F.coalesce("likes", F.lit(0)).alias("likes"),
@@ -62,29 +67,47 @@ def arena_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Kept:
-    """Tables kept by key for a time. Writing replaces a table as a whole; a broken one counts as absent."""
+    """Tables kept by key for a time, each as numbered versions, the newest of which counts.
+
+    A version is written aside and then renamed, so a reader finds the table before or the new one,
+    never a part of it. The version before is left for those who still read it. A broken table
+    counts as absent.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, clock: Callable[[], float] = time.time):
         self.spark, self.folder, self.clock = spark, folder.rstrip("/"), clock
 
-    def _path(self, key: str) -> str:
-        return f"{self.folder}/{key}.parquet"
+    def _versions(self, key: str) -> list[str]:
+        fs, path = file_system(self.spark, f"{self.folder}/{key}")
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return [f"{self.folder}/{key}/{n}" for n in sorted(n for n in names if n.startswith("v"))]
 
     def age(self, key: str) -> float | None:
         """Seconds since the table was written, or None."""
-        try:
-            at = self.spark.read.parquet(self._path(key)).select(F.max(F.col("_metadata.file_modification_time")).cast("double")).first()[0]
-        except Exception:  # noqa: BLE001
-            return None
-        return None if at is None else self.clock() - at
+        found = self._versions(key)
+        return None if not found else self.clock() - int(found[-1].rsplit("-", 1)[1]) / 1e6
 
     def get(self, key: str, ttl: float) -> DataFrame | None:
+        """The table if it is no older than ttl seconds and can be read through, else None."""
         age = self.age(key)
-        return None if age is None or age > ttl else self.spark.read.parquet(self._path(key))
+        if age is None or age > ttl:
+            return None
+        try:
+            found = self.spark.read.parquet(self._versions(key)[-1])
+            found.write.format("noop").mode("overwrite").save()
+            return found
+        except Exception:  # noqa: BLE001 - as if there were none
+            return None
 
     def put(self, key: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self._path(key))
-        return self.spark.read.parquet(self._path(key))
+        before = self._versions(key)
+        number = int(before[-1].rsplit("/v", 1)[1].split("-")[0]) + 1 if before else 0
+        path = f"{self.folder}/{key}/v{number:012d}-{round(self.clock() * 1e6)}"
+        replace(df, path)
+        for old in before[:-1]:
+            fs, p = file_system(self.spark, old)
+            fs.delete(p, True)
+        return self.spark.read.parquet(path)
 
     def fetched(self, key: str, read: Callable[[], DataFrame], ttl: float = 3600, force: bool = False) -> DataFrame:
         """What is kept, if it is fresh and not forced; else what `read` gives, kept anew."""

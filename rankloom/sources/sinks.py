@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators.events import EVENT, SOCIAL, slim
+from rankloom.sources.shared import file_system, replace, stored
 
 KEEP_SNAPSHOTS, KEEP_EVENTS = 300, 500
 
@@ -19,12 +20,8 @@ class Snapshots:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
     def times(self) -> list[int]:
-        fs, path = self._fs()
+        fs, path = file_system(self.spark, self.folder)
         names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
         return sorted(int(n.split("=")[1]) for n in names if n.startswith("snapshot_ts="))
 
@@ -32,19 +29,22 @@ class Snapshots:
         return len(self.times())
 
     def latest(self) -> DataFrame | None:
-        """The newest state, or None if there is none or it cannot be read."""
+        """The newest state, or None if there is none or it cannot be read to its end.
+
+        It is read once, into a stored table: a page that is broken shows here and not later on.
+        """
         times = self.times()
         try:
-            return self.spark.read.parquet(f"{self.folder}/snapshot_ts={times[-1]}") if times else None
+            return stored(self.spark.read.parquet(f"{self.folder}/snapshot_ts={times[-1]}")) if times else None
         except Exception:  # noqa: BLE001 - as if there were none
             return None
 
     def save(self, ranked: DataFrame, ts: float, keep: int = KEEP_SNAPSHOTS) -> None:
         """Writes the state whole or not at all (again under the same time: in place of it), and drops all but the newest."""
-        slim(ranked).write.mode("overwrite").parquet(f"{self.folder}/snapshot_ts={int(ts * 1000)}")
-        fs, _ = self._fs()
+        replace(slim(ranked), f"{self.folder}/snapshot_ts={int(ts * 1000)}")
         for old in self.times()[:-keep]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/snapshot_ts={old}"), True)
+            fs, path = file_system(self.spark, f"{self.folder}/snapshot_ts={old}")
+            fs.delete(path, True)
 
 
 def retained(df: DataFrame, snapshot: str, keep: int = KEEP_SNAPSHOTS) -> DataFrame:
@@ -54,21 +54,41 @@ def retained(df: DataFrame, snapshot: str, keep: int = KEEP_SNAPSHOTS) -> DataFr
 
 
 class EventLog:
-    """Appended batches of events. Newest first and the cap are applied on reading."""
+    """Appended batches of events, newest first on reading. What is beyond the newest `keep` events is deleted."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, keep: int = KEEP_EVENTS):
+        self.spark, self.folder, self.keep = spark, folder.rstrip("/"), keep
 
-    def append(self, events: DataFrame, batch: int) -> None:
-        """A batch under its number: written again, it takes its own place."""
-        events.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+    def _batches(self) -> list[int]:
+        fs, path = file_system(self.spark, self.folder)
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted((int(n.split("=")[1]) for n in names if n.startswith("batch=")), reverse=True)
 
-    def read(self, since: float | None = None, limit: int | None = 50, keep: int = KEEP_EVENTS) -> DataFrame:
+    def append(self, events: DataFrame, batch: int) -> None:
+        """A batch under its number: written again, it takes its own place. Of a batch longer than `keep` the first by ord stay."""
+        replace(events, f"{self.folder}/batch={batch}")
+        self._truncate()
+
+    def _truncate(self) -> None:
+        """Batches are looked at from the newest on; as none is empty, no more than `keep` of them stay."""
+        room = self.keep
+        for b in self._batches():
+            path = f"{self.folder}/batch={b}"
+            if room > 0:
+                n = (rows := self.spark.read.parquet(path)).count()
+                if n > room:
+                    replace(stored(rows.orderBy("ord").limit(room)), path)
+                room -= n
+            else:
+                fs, p = file_system(self.spark, path)
+                fs.delete(p, True)
+
+    def read(self, since: float | None = None, limit: int | None = 50, keep: int | None = None) -> DataFrame:
         try:
             rows = self.spark.read.parquet(self.folder)
         except Exception:  # noqa: BLE001 - nothing was ever written
             return self.spark.createDataFrame([], f"batch int, ord int, {EVENT}")
-        return feed(rows, since, limit, keep)
+        return feed(rows, since, limit, self.keep if keep is None else keep)
 
 
 def feed(log: DataFrame, since: float | None, limit: int | None, keep: int = KEEP_EVENTS) -> DataFrame:
@@ -95,10 +115,33 @@ def dispatch(events: DataFrame, log: Callable[[str], object], channels: list[Cal
     return n
 
 
+def _json(row: DataFrame) -> DataFrame:
+    return row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def models_pieces(ranked: DataFrame, weights: dict[str, float], ages: dict[str, float | None]) -> Iterator[str]:
+    """The JSON answer for a ranked table, piece by piece: rows in order of rank; ages in whole seconds.
+
+    One partition after the other comes to the driver, so what is sent on as it comes needs no more room than that.
+    """
+    n = 0
+    yield '{"models": ['
+    for r in _json(ranked.orderBy("rank")).toLocalIterator():
+        yield (", " if n else "") + r[0]
+        n += 1
+    yield f'], "count": {n}, "weights": {json.dumps(weights)}, "ages": {json.dumps({k: None if a is None else round(a) for k, a in ages.items()})}}}'
+
+
 def models_answer(ranked: DataFrame, weights: dict[str, float], ages: dict[str, float | None]) -> str:
-    """The JSON answer for a ranked table: rows in order of rank; ages in whole seconds."""
-    rows = [json.loads(r[0]) for r in ranked.orderBy("rank").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
-    return json.dumps({"models": rows, "count": len(rows), "weights": weights, "ages": {k: None if a is None else round(a) for k, a in ages.items()}})
+    """models_pieces as one text, for an index of a size that one answer can have."""
+    return "".join(models_pieces(ranked, weights, ages))
+
+
+def write_models(ranked: DataFrame, weights: dict[str, float], ages: dict[str, float | None], folder: str) -> None:
+    """The same answer for an index of any size: folder/models has its rows as JSON lines, folder/head the rest."""
+    _json(ranked).write.text(f"{folder}/models")
+    head = ranked.agg(F.count("*").alias("count")).withColumns({"weights": F.from_json(F.lit(json.dumps(weights)), "map<string,double>"), "ages": F.from_json(F.lit(json.dumps(ages)), "map<string,double>")})
+    _json(head.withColumn("ages", F.transform_values("ages", lambda _, a: F.rint(a).cast("bigint")))).write.text(f"{folder}/head")
 
 
 def error_answer(error: Exception) -> str:
@@ -106,5 +149,6 @@ def error_answer(error: Exception) -> str:
 
 
 def news_answer(events: DataFrame, snapshots: int, period: int) -> str:
-    rows = [json.loads(r[0]) for r in events.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+    """The JSON answer for what EventLog.read gives: no more events than the log keeps."""
+    rows = [json.loads(r[0]) for r in _json(events).collect()]
     return json.dumps({"events": rows, "snapshots": snapshots, "poll_interval": period})

@@ -1,5 +1,8 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from rankloom.operators.entity import lookup_by_text
 from rankloom.sources import readers, sinks
 from rankloom.streaming.sweep import sweep
@@ -31,9 +34,87 @@ def test_kept(spark, tmp_path):
     kept = readers.Kept(spark, str(tmp_path), clock=lambda: now[0])
     assert kept.age("k") is None and kept.get("k", 10) is None
     kept.put("k", spark.range(3))
-    now[0] = kept.age("k") * -1 + 5
+    now[0] = 5
     assert round(kept.age("k")) == 5 and kept.get("k", 4) is None and kept.get("k", 6).count() == 3
     assert kept.fetched("k", lambda: spark.range(1), ttl=6).count() == 3 and kept.fetched("k", lambda: spark.range(1), force=True).count() == 1
+    assert kept.age("k") == 0 and kept.fetched("k", lambda: 1 / 0).count() == 1
+
+
+def broken(folder):
+    for f in folder.rglob("*.parquet"):
+        data = f.read_bytes()
+        f.write_bytes(data[:4] + b"\xff" * (len(data) - 300) + data[-296:])  # the pages, not the footer
+    for f in folder.rglob(".*.crc"):
+        f.unlink()
+
+
+def test_what_is_kept_and_broken_counts_as_absent(spark, tmp_path):
+    kept = readers.Kept(spark, str(tmp_path))
+    kept.put("k", spark.range(10000).selectExpr("id * 7919 % 10007 as x"))
+    broken(tmp_path / "k")
+    assert kept.get("k", 1e9) is None and kept.fetched("k", lambda: spark.range(2)).count() == 2
+
+
+def test_kept_is_replaced_whole(spark, tmp_path):
+    kept = readers.Kept(spark, str(tmp_path))
+    old = kept.put("k", spark.range(3))
+    with pytest.raises(Exception):
+        kept.put("k", spark.range(9).select(F.raise_error(F.lit("broken off"))))
+    assert kept.get("k", 1e9).count() == 3
+    kept.put("k", kept.get("k", 1e9).union(old))  # out of itself
+    assert kept.get("k", 1e9).count() == 6 and old.count() == 3
+    kept.put("k", spark.range(1))
+    assert len(list((tmp_path / "k").iterdir())) == 2
+
+
+def test_a_state_that_is_broken_counts_as_none(spark, rows, tmp_path):
+    store = sinks.Snapshots(spark, str(tmp_path / "s"))
+    store.save(rows([m(f"a{i}", i) for i in range(500)], SLIM), 1.0)
+    assert store.latest().count() == 500
+    broken(tmp_path / "s")
+    assert store.latest() is None and store.count() == 1
+
+
+def test_the_log_is_cut(spark, rows, tmp_path):
+    log = sinks.EventLog(spark, str(tmp_path / "e"), keep=5)
+    for b in range(1, 5):
+        log.append(rows([(i, float(b)) for i in range(1, 4)], "ord int, ts double"), b)
+    kept = lambda: sorted((r.batch, r.ord) for r in spark.read.parquet(str(tmp_path / "e")).collect())
+    assert kept() == [(3, 1), (3, 2), (4, 1), (4, 2), (4, 3)]
+    log.append(rows([(i, 9.0) for i in range(1, 9)], "ord int, ts double"), 7)
+    assert kept() == [(7, i) for i in range(1, 6)]
+
+
+def test_no_folder_of_this_machine_on_a_cluster(spark, monkeypatch):
+    from rankloom.sources import shared
+
+    monkeypatch.setattr(shared, "is_local", lambda spark: False)
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, *a: None)
+    monkeypatch.setattr(type(spark.sparkContext), "getCheckpointDir", lambda self: None)
+    with pytest.raises(ValueError):
+        shared.shared_dir(spark)
+
+
+def test_scopes_delete_what_was_written_within(spark):
+    import os
+
+    from rankloom.sources.shared import scope, stored
+
+    path = lambda df: df.inputFiles()[0].removeprefix("file://")
+    outer = path(stored(spark.range(2)))
+    with scope(spark):
+        inner = path(stored(spark.range(2)))
+        assert os.path.exists(inner)
+    assert os.path.exists(outer) and not os.path.exists(inner)
+
+
+def test_only_what_is_small_in_bytes_is_broadcast(spark):
+    from rankloom.sources.shared import bytes_of, joined
+
+    small = spark.range(50).select("id", F.lit("x" * 1000).alias("t"), F.array(F.lit("y" * 500)).alias("a"))
+    assert 75_000 < bytes_of(small) < 90_000 and bytes_of(small.limit(0)) == 0
+    plan = lambda most: joined(spark.range(100), small, "id", most=most)._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(100_000).lower() and "broadcast" not in plan(50_000).lower()
 
 
 def test_snapshots_and_log(spark, rows, tmp_path):
@@ -76,9 +157,45 @@ def test_sweep_skips_what_is_unchanged_and_goes_on_after_errors(spark, rows, tmp
     assert store.count() == 2 and sorted(r.type for r in log.read().collect()) == ["new_leader", "new_model"] and told == [2]
 
 
-def test_service_end_to_end(spark, tmp_path):
-    from pyspark.sql import functions as F
+def test_ticks_that_fail_wait_and_are_taken_up_in_order(spark, rows, tmp_path, monkeypatch):
+    from rankloom.streaming import sweep as module
+
+    states = [[m("a", 1)], [m("b", 1, usage=1)], [m("c", 1, usage=1)]]
+    for i, st in enumerate(states):
+        rows([(float(i + 1), *r) for r in st], "ts double, " + SLIM).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    store, log, real, seen = sinks.Snapshots(spark, str(tmp_path / "s")), sinks.EventLog(spark, str(tmp_path / "e")), module.record, []
+
+    def record(ranked, ts, *rest):
+        seen.append(ts)
+        if ts == 2.0 and seen.count(2.0) <= 2:
+            raise RuntimeError("the disk is full")
+        return real(ranked, ts, *rest)
+
+    monkeypatch.setattr(module, "record", record)
+    ticks = spark.readStream.schema("ts double, " + SLIM).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sweep(ticks, store, log, str(tmp_path / "c")).awaitTermination(120)
+    assert seen == [1.0, 2.0, 2.0, 2.0, 3.0] and store.count() == 3 and not [p for p in (tmp_path / "c-waiting").iterdir() if not p.name.startswith((".", "_"))]
+    assert [(r.ts, r.type, r.key) for r in log.read().orderBy("batch", "ord").collect()] == [(2.0, "new_leader", "b"), (2.0, "new_model", "b"), (3.0, "new_leader", "c"), (3.0, "new_model", "c")]
 
+
+def test_models_of_any_number_are_written(spark, rows, tmp_path):
+    sinks.write_models(rows([("b", 2, None), ("a", 1, 3.0)], "key string, rank int, score double"), {"x": 1.0}, {"hub": 1.6, "arena": None}, str(tmp_path / "m"))
+    assert json.loads(spark.read.text(str(tmp_path / "m/head")).first()[0]) == {"count": 2, "weights": {"x": 1.0}, "ages": {"hub": 2, "arena": None}}
+    assert {r[0] for r in spark.read.text(str(tmp_path / "m/models")).collect()} == {'{"key":"b","rank":2,"score":null}', '{"key":"a","rank":1,"score":3.0}'}
+
+
+def test_whole_numbers_of_the_environment(monkeypatch):
+    from rankloom.streaming.sweep import whole_number
+
+    assert whole_number("RANKLOOM_TEST", 7) == 7
+    monkeypatch.setenv("RANKLOOM_TEST", "12")
+    assert whole_number("RANKLOOM_TEST", 7) == 12
+    monkeypatch.setenv("RANKLOOM_TEST", "x")
+    with pytest.raises(ValueError):
+        whole_number("RANKLOOM_TEST", 7)
+
+
+def test_service_end_to_end(spark, tmp_path):
     from rankloom.plans.model_queries import SIDES
     from rankloom.plans.service import ModelIndex
 
@@ -106,13 +223,11 @@ def test_service_end_to_end(spark, tmp_path):
     assert index.models()[0] == 502
 
 
-def test_download(tmp_path):
+def test_download(spark, tmp_path):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
 
-    import pytest
-
-    from rankloom.sources.web import download
+    from rankloom.sources.web import download, hub_query
 
     class Answer(BaseHTTPRequestHandler):
         def do_GET(self):
@@ -130,4 +245,9 @@ def test_download(tmp_path):
     with pytest.raises(OSError):
         download(f"{base}/bad", str(tmp_path / "b"))
     assert not (tmp_path / "b").exists()
+    for _ in range(2):
+        assert spark.read.text(download(f"{base}/ok", str(tmp_path / "c"), spark=spark)).first()[0] == "rankloom"
+    with pytest.raises(OSError):
+        download(f"{base}/bad", str(tmp_path / "d"), spark=spark)
+    assert not (tmp_path / "d").exists() and hub_query("http://x/m", 5) == "http://x/m?sort=downloads&direction=-1&limit=5&filter=text-generation"
     server.shutdown()
