@@ -61,8 +61,9 @@ def merged(primary: DataFrame, secondary: DataFrame, ratings: DataFrame, sides:
     Of equal keys the primary's last row holds, in its first one's place; where it looks a link up,
     the secondary's last row counts; of rows that only the secondary has, the first. Missing ratings
     are looked up by name. The sides are joined apart and put one below the other, as their rules
-    differ. `seq` numbers the rows in order.
+    differ. `seq` orders the rows: side (0: primary, 1: only secondary), then place, the ordinal there.
     """
+    seq = lambda side: F.struct(F.lit(side).alias("side"), F.col("position").cast("bigint").alias("place")).alias("seq")
     s = sides
     p = last_by_key(primary.withColumn("key", F.coalesce(filled(F.col(s.link)), F.col(s.own))), "key", primary_ordinal)
     last = last_by_key(secondary, s.id, secondary_ordinal).select(F.col(s.id).alias("_id"), *[F.col(c).alias(f"_{c}") for c in s.from_secondary])
@@ -72,14 +73,14 @@ def merged(primary: DataFrame, secondary: DataFrame, ratings: DataFrame, sides:
     above = joined.select(
         "key", F.coalesce(filled(F.col(s.name)), F.col(s.own)).alias("name"), F.col(s.name).alias("_said"), F.col(s.link).alias(s.link), F.col(s.own).alias(s.own),
         *[F.col(f"_{c}").alias(c) for c in s.from_secondary], *s.from_primary,
-        F.when(hit, F.array(F.lit(s.primary_label), F.lit(s.secondary_label))).otherwise(F.array(F.lit(s.primary_label))).alias("sources"), F.col("position").cast("bigint").alias("seq"),
+        F.when(hit, F.array(F.lit(s.primary_label), F.lit(s.secondary_label))).otherwise(F.array(F.lit(s.primary_label))).alias("sources"), seq(0),
     )
     below = first_by_key(secondary, s.id, secondary_ordinal).join(p.select(F.col("key").alias("_key")), F.col(s.id) == F.col("_key"), "left_anti")
     below = below.select(
         F.col(s.id).alias("key"), F.col(s.id).alias("name"), F.col(s.id).alias("_said"), F.col(s.id).alias(s.link), F.lit(None).cast(types[s.own]).alias(s.own),
-        *s.from_secondary, *[F.lit(None).cast(types[c]).alias(c) for c in s.from_primary], F.array(F.lit(s.secondary_label)).alias("sources"), (F.col("position").cast("bigint") + F.lit(2**40)).alias("seq"),
+        *s.from_secondary, *[F.lit(None).cast(types[c]).alias(c) for c in s.from_primary], F.array(F.lit(s.secondary_label)).alias("sources"), seq(1),
     )
-    text = F.when(F.col("seq") >= 2**40, last_part(F.col("key"))).otherwise(F.col("_said"))
+    text = F.when(F.col("seq.side") == 1, last_part(F.col("key"))).otherwise(F.col("_said"))
     every = with_fallback(above.unionByName(below), text, s.rating, ratings, s.rating)
     words = both(F.col("_said"), F.col(s.link))
     return every.withColumns({"noise": sidelined(words), "params_b": billions(words), "local": filled(F.col(s.link)).isNotNull()}).drop("_said")

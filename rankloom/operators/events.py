@@ -72,11 +72,9 @@ def _leader() -> Column:
 
 def _in_order(df: DataFrame, *lead: str) -> DataFrame:
     """One row an event, with ord: the leader first, then by rank, and of a row's events by their place."""
-    each = df.select(*lead, "place", F.posexplode("events").alias("pos", "e"))
+    each = stored(df.select(*lead, "place", F.posexplode("events").alias("pos", "e")))
     order = [F.col("place"), F.col("e.key"), F.col("pos")]
-    if not lead:
-        return numbered(each, order, "ord").select("ord", "e.*")
-    return each.withColumn("ord", F.row_number().over(Window.partitionBy(*lead).orderBy(*order))).select(*lead, "ord", "e.*")
+    return numbered(each, order, "ord", within=lead).select(*lead, "ord", "e.*")
 
 
 def diff(prev: DataFrame, cur: DataFrame, ts: float, limits: Limits = Limits()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.numbers import round1
-from rankloom.sources.shared import stored
+from rankloom.sources.shared import joined, stored
 
 
 @dataclass(frozen=True)
@@ -77,10 +77,10 @@ def blended(df: DataFrame, signals: tuple[Signal, ...], weights: dict[str, float
     if not used:
         return df.withColumns({"score": F.lit(None).cast("double"), "score_breakdown": F.create_map().cast("map<string,double>")})
     total, weight, quality = F.lit(0.0), F.lit(0.0), F.lit(False)
-    for n, x, s in used:
+    for n, x, s in used:  # each step refers to the one before it once, so the expressions grow with the signals, no faster
         v = F.col(f"norm_{n}")
-        total = F.when(v.isNull(), total).otherwise(total + v * x)
-        weight = F.when(v.isNull(), weight).otherwise(weight + x)
+        total = total + F.coalesce(v * x, F.lit(0.0))
+        weight = weight + F.when(v.isNull(), 0.0).otherwise(x)
         quality = quality | (v.isNotNull() & F.lit(s.quality))
     wide = df.withColumns({"_total": total, "_weight": weight, "_quality": quality})
     score = F.when(F.col("_weight") != 0, F.col("_total") / F.col("_weight"))
@@ -89,18 +89,27 @@ def blended(df: DataFrame, signals: tuple[Signal, ...], weights: dict[str, float
     return wide.withColumns({"score": round1(score), "score_breakdown": F.map_filter(parts, lambda _, v: v.isNotNull())}).drop("_total", "_weight", "_quality")
 
 
-def numbered(df: DataFrame, order: list[Column], out: str = "rank", kind: str = "int") -> DataFrame:
-    """df with its rows' numbers 1, 2, ... in the order, which should be total.
+def numbered(df: DataFrame, order: list[Column], out: str = "rank", kind: str = "int", within: tuple[str, ...] = ()) -> DataFrame:
+    """df with its rows' numbers 1, 2, ... in the order, which should be total; within: numbers begin anew for each value of these.
 
-    Rows are spread by range over the order and written; each part is numbered by itself and the
-    sizes of the parts before are added. No task sees more than its part, unlike with a window
-    without partitions. kind is the numbers' type; more than 2^31 rows need bigint.
+    Rows are spread by range over `within` and the order, sorted and written with their places in
+    their part, in one shuffle; a number is a place plus the sizes of the parts before. No task sees
+    more than its part, however large a group is, unlike with a window. As Spark samples the input
+    to find the ranges, df should be cheap to read. kind is the numbers' type; more than 2^31 rows
+    need bigint.
     """
-    parts = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # a row for each part
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn("_place", place).join(F.broadcast(sizes), "_part").withColumn(out, (F.col("_before") + F.col("_place")).cast(kind)).drop("_part", "_place", "_before")
+    by = [F.col(c) for c in within]
+    parts = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id())
+    parts = stored(parts.withColumns({"_part": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(2**33 - 1)}).drop("_at"))
+    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy(*within, "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))  # no more rows than groups and parts
+    sizes = sizes.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)], F.col("_part").alias("_p"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(within):
+        same = same & F.col(c).eqNullSafe(F.col(f"_w{i}"))
+    found = joined(parts, stored(sizes), same) if within else parts.join(F.broadcast(sizes), same)  # a row for each part
+    number = F.col("_before") + F.col("_place") - F.col("_first") + 1
+    return found.withColumn(out, number.cast(kind)).drop("_part", "_place", "_p", "_first", "_before", *[f"_w{i}" for i in range(len(within))])
 
 
 def ranked(df: DataFrame, seq: str = "seq") -> DataFrame:

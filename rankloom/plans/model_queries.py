@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from rankloom.operators import entity, events, fit, score, views
 from rankloom.operators.history import tidy_key
 from rankloom.plans import model_sql as sql
 from rankloom.sources import readers, sinks
-from rankloom.sources.shared import shared_dir
+from rankloom.sources.shared import stored, work_folder
 from rankloom.sources.tables import table
 from rankloom.streaming import sweep as streaming
 
@@ -42,11 +40,12 @@ def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unify_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unified(spark, sf_dir).withColumn("sources", F.concat_ws(",", "sources"))
+    return unified(spark, sf_dir).withColumns({"sources": F.concat_ws(",", "sources"), "side": F.col("seq.side"), "seq": F.col("seq.place")})
 
 
 def _board(spark: SparkSession, sf_dir: str, weights: str | None = None) -> DataFrame:
-    return score.leaderboard(unified(spark, sf_dir), weights=score.parse_weights(weights))
+    """The merged table is stored: its ends, the sample of its order and its rows are read from there."""
+    return score.leaderboard(stored(unified(spark, sf_dir)), weights=score.parse_weights(weights))
 
 
 def weighted_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +57,7 @@ def leaderboard_custom_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = score.blended(score.normalised(unified(spark, sf_dir), score.MODEL_SIGNALS), score.MODEL_SIGNALS)
+    rows = score.blended(score.normalised(stored(unified(spark, sf_dir)), score.MODEL_SIGNALS), score.MODEL_SIGNALS)
     return rows.select("key", F.explode("score_breakdown").alias("signal", "value"))
 
 
@@ -228,11 +227,10 @@ def yearly_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sums.join(F.broadcast(ends), "ts")  # a row a year
     x = (F.col("total") - F.col("low")) / F.when(F.col("high") == F.col("low"), F.lit(1.0)).otherwise(F.col("high") - F.col("low")) * 100.0
     key = F.col("o_custkey")
-    rows = score.numbered(rows.withColumn("x", x), [F.col("ts").asc(), F.col("total").desc(), key.asc()], "n_all", "bigint")
-    rows = rows.join(F.broadcast(rows.groupBy("ts").agg(F.min("n_all").alias("first"))), "ts")  # a row a year
+    rows = score.numbered(stored(rows.withColumn("x", x)), [F.col("total").desc(), key.asc()], within=("ts",))
     none, x = F.lit(None).cast("double"), F.col("x")
     return rows.select(
-        "ts", F.concat(F.lit("c/"), key).alias("key"), F.concat(F.lit("Customer "), key).alias("name"), (F.col("n_all") - F.col("first") + 1).cast("int").alias("rank"), N.round1(x).alias("score"), none.alias("intelligence_index"), none.alias("coding_index"),
+        "ts", F.concat(F.lit("c/"), key).alias("key"), F.concat(F.lit("Customer "), key).alias("name"), "rank", N.round1(x).alias("score"), none.alias("intelligence_index"), none.alias("coding_index"),
         F.col("n").cast("int").alias("usage_rank"), none.alias("arena_elo"), (F.col("total") / F.col("n") / 1e9).alias("price_completion"), (key % 10 == 0).alias("noise"),
     )
 
@@ -276,27 +274,23 @@ def event_log_append_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.feed(_event_log(spark, sf_dir), None, None).select("batch", "ord")
 
 
-def _work(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def streaming_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """yearly_history, but by the stream: a file for each year, read one by one."""
-    work = _work(spark)
+    work = work_folder(spark)
     rows = yearly_states(spark, sf_dir)
     for r in rows.select("ts").distinct().orderBy("ts").collect():  # a row a year; files are read in the order they were written
         rows.where(F.col("ts") == r.ts).coalesce(1).write.mode("append").parquet(f"{work}/ticks")
     ticks = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/ticks")
-    log = sinks.EventLog(spark, f"{work}/events")
+    log = sinks.EventLog(spark, f"{work}/events", keep=2**31 - 1)
     query = streaming.sweep(ticks, sinks.Snapshots(spark, f"{work}/states"), log, f"{work}/checkpoint")
     query.awaitTermination()
-    every = log.read(limit=None, keep=2**31 - 1)
+    every = log.read(limit=None)
     return _told(every.withColumns({"board": F.lit("orders"), "snapshot_id": F.col("ts").cast("bigint")}))
 
 
 def csv_lookup_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The arena list written as text and read as the arena source is."""
-    path = f"{_work(spark)}/arena"
+    path = f"{work_folder(spark)}/arena"
     lines = table(spark, sf_dir, "arena_lines").select(F.concat_ws(",", "name", "elo", "line_id").alias("value"), "line_id")
     head = spark.createDataFrame([("name,elo,line", -1)], "value string, line_id bigint")
     head.unionByName(lines).coalesce(1).sortWithinPartitions("line_id").select("value").write.text(path)
@@ -305,14 +299,14 @@ def csv_lookup_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ttl_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = readers.Kept(spark, _work(spark))
+    kept = readers.Kept(spark, work_folder(spark))
     kept.fetched("hub", lambda: table(spark, sf_dir, "hub_models"))
     return kept.fetched("hub", lambda: table(spark, sf_dir, "hub_models").limit(0)).agg(F.count("*").alias("rows"), F.count_distinct("rec_id").alias("ids"))
 
 
 def json_sources_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hub records written as a JSON array and read as the hub source is."""
-    path = f"{_work(spark)}/hub.json"
+    path = f"{work_folder(spark)}/hub.json"
     hub = table(spark, sf_dir, "hub_models").select(F.col("hf_id").alias("id"), "downloads", "likes", F.col("created_at").alias("createdAt"), "tags")
     hub.write.json(path)
     return readers.hub_rows(spark, path, limit=None, array=False).groupBy(F.col("downloads") > 0).agg(F.count("*").alias("n"), F.sum("likes").alias("likes")).toDF("downloaded", "n", "likes")

@@ -43,15 +43,15 @@ last_ AS (SELECT * FROM hub_models WHERE hf_id <> '' QUALIFY row_number() OVER (
 first_ AS (SELECT * FROM hub_models WHERE hf_id <> '' QUALIFY row_number() OVER (PARTITION BY hf_id ORDER BY rec_id) = 1),
 both_ AS (
   SELECT p.key, coalesce(nullif(p.name, ''), p.or_id) AS name, p.name AS said, p.hf_id, p.or_id, h.downloads, h.likes, p.usage_rank, p.context_length, p.price_prompt, p.price_completion,
-         p.intelligence_index, p.coding_index, p.agentic_index, p.arena_elo, CASE WHEN h.hf_id IS NULL THEN 'usage' ELSE 'usage,hub' END AS sources, p.seq, {_squash('p.name')} AS norm
+         p.intelligence_index, p.coding_index, p.agentic_index, p.arena_elo, CASE WHEN h.hf_id IS NULL THEN 'usage' ELSE 'usage,hub' END AS sources, 0 AS side, p.seq, {_squash('p.name')} AS norm
   FROM p LEFT JOIN last_ h ON nullif(p.hf_id, '') = h.hf_id
   UNION ALL
-  SELECT hf_id, hf_id, hf_id, hf_id, NULL, downloads, likes, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'hub', rec_id + 1099511627776, {_squash("split_part(hf_id, '/', -1)")}
+  SELECT hf_id, hf_id, hf_id, hf_id, NULL, downloads, likes, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'hub', 1, rec_id, {_squash("split_part(hf_id, '/', -1)")}
   FROM first_ WHERE hf_id NOT IN (SELECT key FROM p)
 ),
 unified AS (
   SELECT key, both_.name, hf_id, or_id, downloads, likes, usage_rank, context_length, price_prompt, price_completion, intelligence_index, coding_index, agentic_index,
-         coalesce(nullif(arena_elo, 0), r.elo) AS arena_elo, sources, seq, regexp_matches(words, '(?i){SIDELINED.replace("'", "''")}') AS noise, {_billions('words')} AS params_b, coalesce(hf_id, '') <> '' AS local
+         coalesce(nullif(arena_elo, 0), r.elo) AS arena_elo, sources, side, seq, regexp_matches(words, '(?i){SIDELINED.replace("'", "''")}') AS noise, {_billions('words')} AS params_b, coalesce(hf_id, '') <> '' AS local
   FROM (SELECT *, coalesce(said, '') || ' ' || coalesce(hf_id, '') AS words FROM both_) both_ LEFT JOIN ratings r USING (norm)
 )"""
 
@@ -70,7 +70,7 @@ def board(weights: dict[str, float] | None = None) -> str:
 ends AS (SELECT {ends} FROM unified),
 normed AS (SELECT unified.*, {norms} FROM unified CROSS JOIN ends),
 blended AS (SELECT *, {_r1(f"s * (CASE WHEN {quality} THEN 1.0 ELSE CAST({WITHOUT_QUALITY} AS DOUBLE) END)")} AS score FROM (SELECT *, (0.0 + {total}) / nullif(0.0 + {weight}, 0.0) AS s FROM normed)),
-board AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, seq) AS INT) AS rank FROM blended)
+board AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC NULLS LAST, side, seq) AS INT) AS rank FROM blended)
 """
 
 

@@ -61,6 +61,35 @@ def test_numbers_over_parts(spark):
     assert [r["rank"] for r in got] == list(range(1, 5001)) and [(r.g, r.id) for r in got] == sorted(((r.g, r.id) for r in got), key=lambda x: (-x[0], x[1]))
 
 
+def test_numbers_within_groups_begin_anew(spark):
+    n = F.col("id")
+    df = spark.range(3000).select("id", F.when(n % 3 > 0, F.lit(7)).when(n % 2 == 0, n % 5).alias("g"))  # two thirds in one group, some in none
+    got = score.numbered(df, [n.desc()], "place", within=("g",)).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.g, []).append((r.place, -r.id))
+    assert len(got) == 3000 and len(groups) == 7 and all([p for p, _ in sorted(v)] == list(range(1, len(v) + 1)) and sorted(v) == sorted(v, key=lambda x: x[1]) for v in groups.values())
+
+
+def test_blend_grows_no_faster_than_its_signals(rows):
+    import time
+
+    n = 16
+    signals = tuple(score.Signal(f"s{i}", f"c{i}", quality=i == 0) for i in range(n))
+    df = rows([(f"k{j}", *[float(j + i) if (i + j) % 3 else None for i in range(n)]) for j in range(10)], "key string, " + ", ".join(f"c{i} double" for i in range(n)))
+    began = time.perf_counter()
+    got = score.blended(score.normalised(df, signals), signals, defaults={s.name: 1.0 for s in signals}).collect()
+    assert len(got) == 10 and time.perf_counter() - began < 10
+
+
+def test_ordinals_of_any_size_keep_to_their_side(rows):
+    none = (None,) * 6
+    usage = rows([(2**60, "a/1", None, None, 1, None, *none), (5, "a/2", None, None, 2, None, *none)], "n bigint, or_id string, name string, hf_id string, usage_rank int, context_length bigint, price_prompt double, price_completion double, intelligence_index double, coding_index double, agentic_index double, arena_elo double")
+    hub = rows([(1, "x/h", 1, 0)], "n bigint, hf_id string, downloads bigint, likes bigint")
+    got = entity.merged(usage, hub, rows([("h", 9.0)], "norm string, arena_elo double"), SIDES, primary_ordinal="n", secondary_ordinal="n").orderBy("seq").collect()
+    assert [(r.key, r.arena_elo) for r in got] == [("a/2", None), ("a/1", None), ("x/h", 9.0)]
+
+
 def test_merge(spark, rows):
     none = (None,) * 6
     usage = rows([(i, o, None, h, i, None, *none) for i, (o, h) in enumerate([("a/1", "H1"), ("a/2", None), ("a/3", "H1"), ("a/4", "H9"), (None, "")], 1)], "n int, or_id string, name string, hf_id string, usage_rank int, context_length bigint, price_prompt double, price_completion double, intelligence_index double, coding_index double, agentic_index double, arena_elo double")
