@@ -2,7 +2,8 @@
 
 A ColumnRule turns a column into a number and says which texts are malformed and which numbers are
 impossible. From the counts of each value in each load come, exactly, the base figures
-(`column_profile`), and the cells on which a classifier two-sample test runs (`load_shifts`).
+(`column_profile`), and the codes on which a classifier two-sample test with ablation runs
+(`load_shifts`).
 
 Defined cases: a null load is a load of its own; null and NaN are missing; an empty text is
 malformed; repeated rows count as often as they occur; an empty table gives an empty result;
@@ -11,24 +12,33 @@ columns that no rule names are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators.score import numbered
 from rankloom.sources.shared import joined, stored
 
 MISSING, MALFORMED, IMPOSSIBLE, USABLE = range(4)
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 #: Where the bands of usable values begin, as shares of all usable values.
 CUTS = [0.001, 0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99, 0.999]
-#: Where the coarse bands of the joint test begin, as places in CUTS.
-COARSE = [2, 5, 9, 12]
 #: Steps of "how many of the other loads know this value".
 KNOWN = [0.01, 0.1, 0.5]
 MOST_DIGITS = 8
+#: Codes of a value: its kind, or from USABLE on (band, digits, known) in this layout.
+DIGITS_AT, KNOWN_AT = MOST_DIGITS + 1, len(KNOWN) + 2
+CODES = USABLE + (len(CUTS) + 1) * DIGITS_AT * KNOWN_AT
+#: Where the levels of a column's score begin, of which the joint model is made; columns that are judged together.
+LEVELS = np.array([-2.5, -1.3, -0.6, -0.15, 0.15, 0.6, 1.3, 2.5])
+TOGETHER = 3
+#: Loads whose models go over the rows of all at once.
+BLOCK = 256
 #: Quantiles of the shape.
 SHAPE = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -132,33 +142,47 @@ def band_cuts(df: DataFrame, rules: list[ColumnRule]) -> dict[str, list[float]]:
     return {r.column: c or [] for r, c in zip(rules, row)}
 
 
-def cells(counts: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    """load, column_name, fold, kind, band, digits, known, n: the counts by what a classifier may see of a value.
+def coded(df: DataFrame, load: str, rules: list[ColumnRule]) -> tuple[DataFrame, DataFrame]:
+    """(cells, loads). cells: no, fold, c0, c1, ... and n: how often each combination of codes occurs in a load; loads: load and its number.
 
-    band: where the value lies among all usable rows of the column (cuts: of band_cuts); digits: its granularity;
-    known: in how many of the other loads the same value occurs.
+    A code is what a classifier may see of a value: its kind, and of a usable one the band (where it
+    lies among all usable rows), its digits and in how many of the other loads it occurs. Each
+    different value is coded once; rows that are equal in all columns are one from the start.
     """
-    usable = counts.where(F.col("kind") == USABLE)
-    spread = usable.groupBy("column_name", "x", "load").agg(F.lit(1).alias("one")).groupBy("column_name", "x").agg(F.count("*").alias("loads"))
-    every = max(1, counts.select("load").distinct().count() - 1)
+    names = [f"v{i}" for i in range(len(rules))]
+    read = df.select(F.col(f"`{load}`").alias("load"), _half(df).alias("fold"), *[_read(df, r).alias(n) for n, r in zip(names, rules)])
+    rows = stored(read.groupBy("load", "fold", *names).agg(F.count("*").alias("n")))
+    loads = stored(numbered(rows.select("load").distinct(), [F.col("load").asc()], "no"))
+    every = max(1, loads.count() - 1)
+    cuts = band_cuts(df, rules)
+    begins = F.array(*[F.array(*[F.lit(float(c)) for c in cuts[r.column]]).cast("array<double>") for r in rules])
+    one = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.col(n)["kind"].alias("kind"), F.col(n)["x"].alias("x")) for i, n in enumerate(names)])).alias("e")
+    seen = rows.select("load", one).where(F.col("e.kind") == USABLE).select("load", "e.place", "e.x").distinct().groupBy("place", "x").agg(F.count("*").alias("loads"))
     share = (F.col("loads") - 1) / every
     known = sum((F.when(share >= k, 1).otherwise(0) for k in KNOWN), F.when(share > 0, 1).otherwise(0))
-    begins = F.create_map(*[y for name, c in cuts.items() for y in (F.lit(name), F.array(*[F.lit(float(v)) for v in c]).cast("array<double>"))])
-    band = F.size(F.filter(begins[F.col("column_name")], lambda c: c <= F.col("x")))
-    codes = {"band": band, "digits": _digits(F.col("x")), "known": known}
-    seen = usable.join(spread, ["column_name", "x"])
-    seen = seen.select("load", "column_name", "fold", "kind", *[c.cast("int").alias(n) for n, c in codes.items()], "n")
-    others = counts.where(F.col("kind") != USABLE).select("load", "column_name", "fold", "kind", *[F.lit(-1).alias(n) for n in codes], "n")
-    return seen.unionByName(others).groupBy("load", "column_name", "fold", "kind", *codes).agg(F.sum("n").alias("n"))
+    band = F.size(F.filter(begins[F.col("place")], lambda c: c <= F.col("x")))
+    code = (band * DIGITS_AT + _digits(F.col("x"))) * KNOWN_AT + known + USABLE
+    codes = stored(seen.select("place", "x", code.cast("int").alias("code")))
+    for i, n in enumerate(names):
+        own = codes.where(F.col("place") == i).select(F.col("x").alias(f"x{i}"), F.col("code").alias(f"k{i}"))
+        rows = joined(rows, own, F.when(F.col(n)["kind"] == USABLE, F.col(n)["x"]) == F.col(f"x{i}"), "left")
+    rows = rows.select("load", "fold", *[F.coalesce(f"k{i}", F.col(n)["kind"]).alias(f"c{i}") for i, n in enumerate(names)], "n")
+    rows = joined(rows, loads.withColumnRenamed("load", "_load"), F.col("load").eqNullSafe(F.col("_load")))
+    return stored(rows.groupBy("no", "fold", *[f"c{i}" for i in range(len(rules))]).agg(F.sum("n").alias("n"))), loads
+
+
+def _design() -> np.ndarray:
+    """A row for each code: a constant, and a column for each kind, band, number of digits and step of known."""
+    code = np.arange(CODES)
+    rest = np.where(code >= USABLE, code - USABLE, 0)
+    parts = [np.minimum(code, USABLE), rest // KNOWN_AT // DIGITS_AT, rest // KNOWN_AT % DIGITS_AT, rest % KNOWN_AT]
+    hot = [(p[:, None] == np.arange(p.max() + 1)) & ((code >= USABLE)[:, None] | (i == 0)) for i, p in enumerate(parts)]
+    return np.hstack([np.ones((CODES, 1)), *hot]).astype(float)
 
 
 def _one_hot(codes: np.ndarray) -> np.ndarray:
     """A column for each value of each code, and a constant."""
-    parts = [np.ones((len(codes), 1))]
-    for j in range(codes.shape[1]):
-        own = np.unique(codes[:, j])
-        parts.append((codes[:, [j]] == own[own >= 0]).astype(float))
-    return np.hstack(parts)
+    return np.hstack([np.ones((len(codes), 1)), *[(codes[:, [j]] == np.unique(codes[:, j])).astype(float) for j in range(codes.shape[1])]])
 
 
 def _logistic(z: np.ndarray, a: np.ndarray, b: np.ndarray, ridge: float) -> np.ndarray:
@@ -168,12 +192,20 @@ def _logistic(z: np.ndarray, a: np.ndarray, b: np.ndarray, ridge: float) -> np.n
     if not na or not nb:
         return beta
     wa, wb, keep = a / na, b / nb, ridge / min(na, nb) * np.eye(z.shape[1])
-    for _ in range(12):
+
+    def cost(beta: np.ndarray) -> float:
+        x = z @ beta
+        return float(wa @ np.logaddexp(0, -x) + wb @ np.logaddexp(0, x) + beta @ keep @ beta / 2)
+
+    now = cost(beta)
+    for _ in range(200):  # convex, and no step goes up: ends long before
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         step = np.linalg.solve(z.T @ (z * ((wa + wb) * p * (1 - p))[:, None]) + keep, z.T @ (wa * (1 - p) - wb * p) - keep @ beta)
-        beta += step
         if np.abs(step).max() < 1e-6:
             break
+        while (then := cost(beta + step)) > now + 1e-12 and np.abs(step).max() >= 1e-9:
+            step = step / 2
+        beta, now = beta + step, then
     return beta
 
 
@@ -186,87 +218,169 @@ def _auc(score: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
     return float(x @ (np.cumsum(y) - y / 2))
 
 
-def discrimination(codes: np.ndarray, a: np.ndarray, b: np.ndarray, ridge: float) -> float:
-    """Cross-fitted: a model of either half, judged on the other. a, b: (cells, 2) counts by fold."""
-    z = _one_hot(codes)
-    return float(np.mean([_auc(z @ _logistic(z, a[:, f], b[:, f], ridge), a[:, 1 - f], b[:, 1 - f]) for f in (0, 1)]))
+def taken_out(auc: Callable[[tuple[int, ...]], float], columns: int, limit: float, alone: list[float], near: float = 0.01) -> tuple[list[bool], list[float]]:
+    """(shifted, lost) of each column by ablation: columns are taken out of the model until it tells the load from the others no better than `limit`.
 
+    auc: discrimination of the best model of some columns or of some of these (a column of noise makes a
+    small load's model worse). At each step goes the column without which the
+    model is worst; of those within `near` of that, the one that tells most alone, as of two columns
+    that each tell all neither is missed. A column is shifted if it had to go. lost: what the model
+    lost as it went, or would lose if it went from those that stay.
+    """
+    left, shifted, lost = list(range(columns)), [False] * columns, [0.0] * columns
+    while True:
+        whole = auc(tuple(left)) if left else 0.5
+        without = {j: auc(tuple(i for i in left if i != j)) if len(left) > 1 else 0.5 for j in left}
+        if whole <= limit:
+            for j, x in without.items():
+                lost[j] = whole - x
+            return shifted, lost
+        worst = min(without.values())
+        j = max((j for j in left if without[j] <= worst + near), key=lambda j: (alone[j], -without[j], -j))
+        shifted[j], lost[j] = True, whole - without[j]
+        left.remove(j)
+
+
+def _array(pdf: pd.DataFrame, columns: int) -> np.ndarray:
+    """place, fold, code, n to (columns, 2, CODES)."""
+    out = np.zeros((columns, 2, CODES))
+    np.add.at(out, (pdf["place"].to_numpy(int), pdf["fold"].to_numpy(int), pdf["code"].to_numpy(int)), pdf["n"].to_numpy(float))
+    return out
+
+
+def _alone(marked: DataFrame, pool: np.ndarray, ridge: float) -> DataFrame:
+    """no, place, rows, alone and levels of each load's columns. levels: of each fold's model, the level of each code's score."""
+    columns, design = len(pool), _design()
 
-def _wide(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    w = pdf.pivot_table(index=keys, columns="fold", values="n", aggfunc="sum", fill_value=0)
-    return w.reindex(columns=[0, 1], fill_value=0)
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, out = _array(pdf, columns), []
+        for j in sorted(pdf["place"].unique()):
+            pooled = pdf.loc[pdf["place"] == j, "pooled"].iloc[0]
+            a, b = own[j], np.maximum(0, pool[j] - own[j]) if pooled else pool[j]
+            there = np.flatnonzero(a.sum(axis=0) + b.sum(axis=0))
+            z = design[there]
+            scores = [design @ _logistic(z, a[f, there], b[f, there], ridge) for f in (0, 1)]
+            alone = np.mean([_auc(scores[f][there], a[1 - f, there], b[1 - f, there]) for f in (0, 1)])
+            out.append((pdf["no"].iloc[0], j, int(a.sum()), float(alone), np.digitize(scores, LEVELS).astype(np.uint8).tobytes()))
+        return pd.DataFrame(out, columns=["no", "place", "rows", "alone", "levels"])
 
+    spread = marked.repartition(2 * marked.sparkSession.sparkContext.defaultParallelism, "no")  # few bytes, but much work
+    return spread.groupBy("no").applyInPandas(one, "no int, place int, rows bigint, alone double, levels binary")
 
-def _against(group: DataFrame, by: list[str], pool: pd.DataFrame, keys: list[str], ridge: float, out: str) -> DataFrame:
-    """Each group of cells against the pool less its own counts (if it is in it)."""
-    whole = {k: _wide(p, keys) for k, p in pool.groupby("column_name", dropna=False)}
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, rest = _wide(pdf, keys), whole.get(pdf["column_name"].iloc[0])
-        if rest is None:
-            rest = own.iloc[:0]
-        index = own.index.union(rest.index)
-        a, b = (x.reindex(index, fill_value=0).to_numpy(float) for x in (own, rest))
-        if bool(pdf["pooled"].iloc[0]):
-            b = np.maximum(0, b - a)
-        codes = np.array([list(np.atleast_1d(i)) for i in index], dtype=int)
-        head = {c: [pdf[c].iloc[0]] for c in by}
-        if out == "alone":
-            return pd.DataFrame(head | {"rows": [int(a.sum())], "alone": [discrimination(codes, a, b, ridge)]})
-        full = discrimination(codes, a, b, ridge)
-        k = codes.shape[1]
-        return pd.DataFrame([{c: v[0] for c, v in head.items()} | {"place": j, "joint": full, "without": discrimination(np.delete(codes, j, 1), a, b, ridge) if k > 1 else 0.5} for j in range(k)])
-
-    kinds = dict(group.dtypes)
-    head = ", ".join(f"`{c}` {kinds[c]}" for c in by)
-    spread = group.repartition(2 * group.sparkSession.sparkContext.defaultParallelism, *by)  # few bytes, but much work
-    return spread.groupBy(*by).applyInPandas(one, f"{head}, rows bigint, alone double" if out == "alone" else f"{head}, place int, joint double, without double")
+def _limit(rows: Column, threshold: float, noise: float) -> Column:
+    return F.greatest(F.lit(threshold), 0.5 + noise * F.sqrt(1 / (12 * F.greatest(rows, F.lit(1)))))
 
 
 def load_shifts(df: DataFrame, load: str, rules: list[ColumnRule], *, threshold: float = 0.57, noise: float = 3.0, ridge: float = 1.0) -> DataFrame:
-    """How well each load's values of each column can be told from those of the ordinary loads.
+    """The loads in which a column can be told from what it is in the ordinary loads.
 
     Gives load, column_name, rows, alone (cross-fitted discrimination of a logistic regression that
     sees this column alone; 0.5: none, 1: complete), joint (of one that sees all columns), lost
-    (what joint loses when this column is taken out) and shifted.
-
-    A load is shifted in a column where alone exceeds both `threshold` (some 2 * (threshold - 0.5)
-    of the values are unlike) and 0.5 by `noise` standard errors of a load of its size. The first
-    round compares with all other loads; the second leaves out of the ordinary loads, by column,
-    those that the first found shifted. The other loads are only present as counts of cells, of
-    which there are as many as kinds, bands, digits and steps of known allow, however many rows.
+    (what that model loses when this column is taken out, see taken_out) and shifted.
+
+    A first round compares each load with all others by single columns, to find the ordinary ones. In
+    the second, each load is compared with the ordinary ones by a joint model on the levels of the
+    single columns' scores, and columns are taken out of it until it tells no more than a limit:
+    `threshold` (some 2 * (threshold - 0.5) of the values are unlike) or `noise` standard errors of a
+    load of its size, whichever is more. Those that had to go are shifted. More than TOGETHER rules
+    are judged in groups of so many, in the order given.
+
+    Rows count by their combination of codes. A load's models are a few hundred numbers; BLOCK loads'
+    models at a time go over the ordinary rows' combinations where those lie, and what comes out are
+    counts of levels, however many rows there are.
     """
-    counts = stored(value_counts(df, load, rules))
-    cuts = band_cuts(df, rules)
-    fine = stored(cells(counts, cuts))
-    keys = ["kind", "band", "digits", "known"]
-
-    def alone(ordinary: DataFrame, marked: DataFrame) -> DataFrame:
-        pool = ordinary.groupBy("column_name", "fold", *keys).agg(F.sum("n").alias("n")).toPandas()  # bounded by the codes
-        return _against(marked, ["load", "column_name"], pool, keys, ridge, "alone")
-
-    limit = F.greatest(F.lit(threshold), 0.5 + noise * F.sqrt(1 / (12 * F.greatest("rows", F.lit(1)))))
-    first = stored(alone(fine, fine.withColumn("pooled", F.lit(1))).withColumn("out", F.col("alone") > limit))
-    flags = first.select(F.col("load").alias("l"), F.col("column_name").alias("c"), "out")  # one row a load and column
-    marked = fine.join(flags, F.col("load").eqNullSafe(F.col("l")) & (F.col("column_name") == F.col("c"))).withColumn("pooled", (~F.col("out")).cast("int")).drop("l", "c")
-    second = stored(alone(marked.where(~F.col("out")), marked).withColumn("shifted", F.col("alone") > limit))
-    return _ablated(df, load, rules, cuts, second, ridge)
-
-
-def _ablated(df: DataFrame, load: str, rules: list[ColumnRule], cuts: dict[str, list[float]], found: DataFrame, ridge: float) -> DataFrame:
-    """found with joint and lost. Rows are counted by their combination of coarse bands."""
-    code = []
-    for i, r in enumerate(rules):
-        v = F.col(f"v{i}")
-        band = sum((F.when(v["x"] >= float(c), 1).otherwise(0) for c in [cuts[r.column][j] for j in COARSE if cuts[r.column]]), F.lit(USABLE))
-        code.append(F.when(v["kind"] == USABLE, band).otherwise(v["kind"]).cast("int").alias(f"c{i}"))
-    names = [f"c{i}" for i in range(len(rules))]
-    read = df.select(F.col(f"`{load}`").alias("load"), _half(df).alias("fold"), *[_read(df, r).alias(f"v{i}") for i, r in enumerate(rules)])
-    coarse = stored(read.select("load", "fold", *code).groupBy("load", "fold", *names).agg(F.count("*").alias("n")))
-    bad = found.groupBy("load").agg(F.max(F.col("shifted").cast("int")).alias("bad")).select(F.col("load").alias("l"), "bad")
-    marked = coarse.join(bad, F.col("load").eqNullSafe(F.col("l"))).select("load", F.lit("").alias("column_name"), "fold", *names, "n", (1 - F.col("bad")).alias("pooled"))
-    pool = marked.where("pooled = 1").groupBy("column_name", "fold", *names).agg(F.sum("n").alias("n")).toPandas()  # bounded by the combinations of bands
-    both = _against(marked, ["load", "column_name"], pool, names, ridge, "joint")
-    which = F.element_at(F.array(*[F.lit(r.column) for r in rules]), F.col("place") + 1)
-    both = both.select(F.col("load").alias("l"), which.alias("c"), "joint", (F.col("joint") - F.col("without")).alias("lost"))
-    return found.join(both, F.col("load").eqNullSafe(F.col("l")) & (F.col("column_name") == F.col("c")), "left").select(F.col("load").alias(load), "column_name", "rows", "alone", "joint", "lost", "shifted")
+    cells, loads = coded(df, load, rules)
+    k = len(rules)
+    one = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.col(f"c{i}").alias("code")) for i in range(k)])).alias("e")
+    single = stored(cells.select("no", "fold", one, "n").groupBy("no", "e.place", "fold", "e.code").agg(F.sum("n").alias("n")))
+    pooled = lambda rows: _array(rows.groupBy("place", "fold", "code").agg(F.sum("n").alias("n")).toPandas(), k)  # noqa: E731 - bounded by the codes
+    limit = _limit(F.col("rows"), threshold, noise)
+    first = stored(_alone(single.withColumn("pooled", F.lit(True)), pooled(single), ridge).select("no", "place", (F.col("alone") <= limit).alias("pooled")))
+    marked = stored(joined(single, first, ["no", "place"]))
+    second = stored(_alone(marked, pooled(marked.where("pooled")), ridge))
+    ordinary = stored(first.groupBy("no").agg(F.bool_and("pooled").alias("pooled")))
+    found = None
+    for g in range(0, k, TOGETHER):
+        part = _ablated(cells, second, ordinary, list(range(g, min(k, g + TOGETHER))), loads.count(), threshold, noise, ridge)
+        found = part if found is None else found.unionByName(part)
+    told = joined(joined(second.select("no", "place", "rows", "alone"), stored(found), ["no", "place"]), loads, "no")
+    names = F.array(*[F.lit(r.column) for r in rules])
+    return told.select(F.col("load").alias(load), names[F.col("place")].alias("column_name"), "rows", "alone", "joint", "lost", "shifted")
+
+
+def _ablated(cells: DataFrame, models: DataFrame, ordinary: DataFrame, places: list[int], loads: int, threshold: float, noise: float, ridge: float) -> DataFrame:
+    """no, place, joint, lost and shifted of these columns, by joint models on the levels of their scores."""
+    k, codes, size = len(places), [f"c{j}" for j in places], (len(LEVELS) + 1) ** len(places)
+    marked = joined(cells.select("no", "fold", *codes, "n"), ordinary, "no")
+    rows = stored(marked.groupBy("no", "fold", *codes).agg(F.sum("n").alias("n")))
+    combos = stored(marked.where("pooled").groupBy("fold", *codes).agg(F.sum("n").alias("n")))
+    weights = (len(LEVELS) + 1) ** np.arange(k)
+    schema = "no int, own boolean, model int, fold int, cell int, n double"
+    sc, parts = cells.sparkSession.sparkContext, None
+    for begin in range(1, loads + 1, BLOCK):
+        block = models.where(F.col("no").between(begin, begin + BLOCK - 1) & F.col("place").isin(places)).select("no", "place", "levels").toPandas()  # at most BLOCK loads' models
+        levels = np.zeros((BLOCK, k, 2, CODES), dtype=np.uint8)
+        for r in block.itertuples():
+            levels[r.no - begin, places.index(r.place)] = np.frombuffer(r.levels, dtype=np.uint8).reshape(2, CODES)
+        held = sc.broadcast((levels, sorted(block["no"].unique())))
+
+        def summed(total: np.ndarray, own: bool, first: int = begin) -> pd.DataFrame:
+            at = np.nonzero(total)
+            return pd.DataFrame({"no": (at[0] + first).astype(np.int32), "own": own, "model": at[1].astype(np.int32), "fold": at[2].astype(np.int32), "cell": at[3].astype(np.int32), "n": total[at]})
+
+        def packed(table: np.ndarray, c: np.ndarray) -> np.ndarray:
+            return sum(table[j][c[:, j]].astype(np.int64) * int(w) for j, w in enumerate(weights))
+
+        def others(batches: Iterator[pd.DataFrame], first: int = begin, held=held) -> Iterator[pd.DataFrame]:
+            levels, present = held.value
+            total = np.zeros((BLOCK, 2, 2, size))
+            for pdf in batches:
+                c, fold, n = pdf[codes].to_numpy(int), pdf["fold"].to_numpy(int), pdf["n"].to_numpy(float)
+                for no in present:
+                    for f in (0, 1):
+                        total[no - first, f] += np.bincount(packed(levels[no - first, :, f], c) + fold * size, n, 2 * size).reshape(2, size)
+            yield summed(total, False)
+
+        def own(batches: Iterator[pd.DataFrame], first: int = begin, held=held) -> Iterator[pd.DataFrame]:
+            levels, _ = held.value
+            total = np.zeros((BLOCK, 2, 2, size))
+            for pdf in batches:
+                for no, p in pdf.groupby("no"):
+                    c, fold, n = p[codes].to_numpy(int), p["fold"].to_numpy(int), p["n"].to_numpy(float)
+                    for f in (0, 1):
+                        total[no - first, f] += np.bincount(packed(levels[no - first, :, f], c) + fold * size, n, 2 * size).reshape(2, size)
+            yield summed(total, True)
+
+        both = combos.mapInPandas(others, schema).unionByName(rows.where(F.col("no").between(begin, begin + BLOCK - 1)).mapInPandas(own, schema))
+        both = stored(both.groupBy("no", "own", "model", "fold", "cell").agg(F.sum("n").alias("n")))
+        parts = both if parts is None else parts.unionByName(both)
+
+    def judged(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell, at = np.unique(pdf["cell"], return_inverse=True)
+        counts = np.zeros((2, 2, 2, len(cell)))  # own, model, fold
+        np.add.at(counts, (pdf["own"].to_numpy(int), pdf["model"].to_numpy(int), pdf["fold"].to_numpy(int), at), pdf["n"].to_numpy(float))
+        a, b = counts[1], np.maximum(0, counts[0] - counts[1]) if pdf["pooled"].iloc[0] else counts[0]
+        code = cell[:, None] // weights % (len(LEVELS) + 1)
+        known: dict[tuple[int, ...], float] = {}
+
+        def auc(which: tuple[int, ...]) -> float:
+            if which not in known:
+                own, first = np.unique(code[:, which], axis=0, return_inverse=True)
+                first = first.reshape(-1)
+                fold = lambda x: np.bincount(first, x, len(own))
+                z = _one_hot(own)
+                known[which] = float(np.mean([_auc(z @ _logistic(z, fold(a[f, f]), fold(b[f, f]), ridge), fold(a[f, 1 - f]), fold(b[f, 1 - f])) for f in (0, 1)]))
+            return known[which]
+
+        def best(which: tuple[int, ...]) -> float:
+            return max(auc(t) for n in range(1, len(which) + 1) for t in combinations(which, n))
+
+        limit = max(threshold, 0.5 + noise * (1 / (12 * max(1.0, a[0].sum()))) ** 0.5)
+        shifted, lost = taken_out(best, k, limit, [auc((j,)) for j in range(k)])
+        return pd.DataFrame({"no": pdf["no"].iloc[0], "place": places, "joint": auc(tuple(range(k))), "lost": lost, "shifted": shifted})
+
+    if parts is None:
+        parts = cells.sparkSession.createDataFrame([], schema)
+    spread = joined(parts, ordinary, "no").repartition(2 * sc.defaultParallelism, "no")
+    return spread.groupBy("no").applyInPandas(judged, "no int, place int, joint double, lost double, shifted boolean")

@@ -1,7 +1,7 @@
 import random
 import statistics
 
-from rankloom.operators.profile import ColumnRule, column_profile, column_shape, load_shifts
+from rankloom.operators.profile import ColumnRule, column_profile, column_shape, load_shifts, taken_out
 
 RULES = [ColumnRule("price", 0.0, 1.0), ColumnRule("size", 1, 10**6)]
 SCHEMA = "load bigint, price string, size bigint, x map<string,int>, kind string, n int, fold int, c0 string"
@@ -75,3 +75,30 @@ def test_shape(rows):
     assert (s.p05, s.p25, s.median, s.p75, s.p95) == (2, 2, 2, 125, 145)
     assert set(got) == {(1, "size"), (1, "price"), (None, "size"), (None, "price")} and p["mean"] is p.deviation is p.p05 is p.p95 is None
     assert column_shape(rows([], SCHEMA), "load", RULES).collect() == []
+
+
+def test_ablation_takes_out_what_tells():
+    def judged(**tells):
+        t = [tells.get(c, 0.5) for c in "abc"]
+        return taken_out(lambda which: max(t[j] for j in which), 3, 0.57, t)
+
+    assert judged() == ([False] * 3, [0.0] * 3)
+    assert judged(b=0.9) == ([False, True, False], [0.0, 0.4, 0.0])
+    assert judged(a=1.0, c=1.0)[0] == [True, False, True]  # either hides the other
+    assert judged(a=1.0, b=0.6, c=0.8)[0] == [True, True, True]
+    assert judged(a=0.56)[0] == [False] * 3
+
+
+def test_two_columns_broken_in_one_load(rows):
+    bad = {"price": lambda r: f"{r.lognormvariate(-4, 1):.8f}", "size": lambda r: 2 ** r.randint(3, 12) + 3}
+    data = [x for i in range(14) for x in load(i)] + load(14, **bad)
+    got = {(r.load, r.column_name): r for r in load_shifts(rows(data, SCHEMA), "load", RULES).collect()}
+    assert {k for k, r in got.items() if r.shifted} == {(14, "price"), (14, "size")}
+    assert got[14, "price"].joint > 0.9 and max(got[i, "size"].joint for i in range(14)) < 0.6
+
+
+def test_more_columns_than_are_judged_together(rows):
+    rules = [ColumnRule("price", 0.0, 1.0), *[ColumnRule(c, 1, 10**6) for c in ("s0", "s1", "s2", "s3")]]
+    data = [(*r[:2], *([r[2]] * 3), r[2] + 3 if i == 12 else r[2]) for i in range(13) for r in load(i)]
+    df = rows(data, "load bigint, price string, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    assert {(r.load, r.column_name) for r in load_shifts(df, "load", rules).where("shifted").collect()} == {(12, "s3")}
