@@ -61,7 +61,15 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = work_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a table that `stored` gave, ahead of its scope's end: for steps whose successor is written."""
+    fs, path = file_system(table.sparkSession, table._stored_at)
+    fs.delete(path, True)
 
 
 def _drop(spark: SparkSession, paths: list[str]) -> int:

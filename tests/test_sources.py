@@ -98,6 +98,7 @@ def test_no_folder_of_this_machine_on_a_cluster(spark, monkeypatch):
 def test_scopes_delete_what_was_written_within(spark):
     import os
 
+    from rankloom.sources import shared
     from rankloom.sources.shared import scope, stored
 
     path = lambda df: df.inputFiles()[0].removeprefix("file://")
@@ -106,6 +107,8 @@ def test_scopes_delete_what_was_written_within(spark):
         inner = path(stored(spark.range(2)))
         assert os.path.exists(inner)
     assert os.path.exists(outer) and not os.path.exists(inner)
+    shared.drop(table := shared.stored(spark.range(2)))
+    assert not os.path.exists(table._stored_at)
 
 
 def test_only_what_is_small_in_bytes_is_broadcast(spark):
