@@ -9,7 +9,9 @@ problem is convex; its solution is the confidence of each link.
 Every rule, and each of the two constraints, keeps a copy of the variables it touches. A round sets
 each copy by a closed form, averages the copies, and moves the multipliers. As no rule reaches
 across groups, the problem falls apart into groups; these are spread by hash over as many blocks as
-keep a block small, and all groups of a block are solved together, as arrays.
+keep a block small, and all groups of a block are solved together, as arrays. Each group goes on until
+its own variables and copies stand still, so what shares its block has no effect on it. A group that
+is larger than a block is solved by the same rounds over tables, spread by link.
 """
 
 from __future__ import annotations
@@ -22,9 +24,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.sources.shared import stored
+from rankloom.sources.shared import drop, joined, stored
 
 BLOCK_LINKS = 40_000
+#: A group stands still when nothing in it moves by more than CLOSE in a round; ROUNDS ends what does not, and says so.
+CLOSE, ROUNDS = 1e-6, 50_000
+#: How much a copy that is apart from its variable costs: it changes how fast values stand still, not which.
+STEP = 3.0
+#: Of solutions that cost the same, the one nearest to one half: what a unit of half the squared distance from it costs.
+HOLD = 0.05
+#: Rounds between two looks.
+LOOK = 10
 
 
 @dataclass(frozen=True)
@@ -36,16 +46,25 @@ class Rule:
     pulls: bool = True
 
 
-def solve(truth: np.ndarray, weight: np.ndarray, pulls: np.ndarray, left: np.ndarray, same: np.ndarray, agree: float, rounds: int = 300, step: float = 1.0, close: float = 1e-4) -> np.ndarray:
-    """truth: (links, rules). left, same: codes 0... of each link's left entity and of its (group, right entity)."""
+def solve(truth: np.ndarray, weight: np.ndarray, pulls: np.ndarray, left: np.ndarray, same: np.ndarray, agree: float, group: np.ndarray | None = None, rounds: int = ROUNDS, step: float = STEP, close: float = CLOSE, hold: float = HOLD) -> tuple[np.ndarray, np.ndarray]:
+    """(value, whether it converged) of each link.
+
+    truth: (links, rules). left, same, group: codes 0... of each link's left entity, of its (group,
+    right entity), and of its group (None: all are one).
+    """
     n, r = truth.shape
+    value, settled = np.full(n, 0.5), np.zeros(n, dtype=bool)
     if not n:
-        return np.zeros(0)
-    bound = np.where(pulls, truth, 1 - truth)
-    move = np.broadcast_to(weight / step, bound.shape)
+        return value, settled
+    at = np.argsort(np.zeros(n) if group is None else group, kind="stable")  # links still open, by group
+    code = np.zeros(n, dtype=int) if group is None else group[at]
+    bound, left, same = np.where(pulls, truth, 1 - truth)[at], left[at], same[at]
+    move = weight / step
     x, dual = np.full(n, 0.5), np.zeros((n, r + 2))
-    size_l, size_s = np.bincount(left)[left], np.bincount(same)[same]
-    for _ in range(rounds):
+    for k in range(1, rounds + 1):
+        if k == 1 or k % LOOK == 1:  # what is open has changed, or may have
+            left, same = (np.unique(c, return_inverse=True)[1] for c in (left, same))
+            size_l, size_s = np.bincount(left)[left], np.bincount(same)[same]
         v = x[:, None] - dual
         h = v[:, :r]
         up = np.where(h >= bound, h, np.minimum(h + move, bound))
@@ -55,35 +74,81 @@ def solve(truth: np.ndarray, weight: np.ndarray, pulls: np.ndarray, left: np.nda
         z[:, :r] = np.where(pulls, up, down)
         z[:, r] = own - np.maximum(0, (np.bincount(left, own)[left] - 1) / size_l)
         z[:, r + 1] = (step * v[:, r + 1] + agree * mean) / (step + agree)
-        new = np.clip((z + dual).mean(axis=1), 0, 1)
+        new = np.clip((step * (z + dual).sum(axis=1) + hold / 2) / (step * (r + 2) + hold), 0, 1)
         dual += z - new[:, None]
-        moved = max(np.abs(new - x).max(), np.abs(z - new[:, None]).max())
+        if k % LOOK and k < rounds:
+            x = new
+            continue
+        moved = np.maximum(np.abs(new - x), np.abs(z - new[:, None]).max(axis=1))
         x = new
-        if moved < close:
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        still = np.repeat(np.maximum.reduceat(moved, starts) < close, np.diff(np.r_[starts, len(code)]))
+        value[at[still]], settled[at[still]] = x[still], True
+        if still.any():
+            x, dual, bound, left, same, code, at = (y[~still] for y in (x, dual, bound, left, same, code, at))
+        if not len(at):
+            break
+    value[at] = x
+    return value, settled
+
+
+def solve_wide(rows: DataFrame, names: list[str], rules: list[Rule], agree: float, rounds: int = ROUNDS, step: float = STEP, close: float = CLOSE, hold: float = HOLD) -> DataFrame:
+    """l, r, confidence and converged of the links of groups that no task can hold: solve's rounds, each two aggregations over the links.
+
+    All links go on until all stand still. Every round is stored, so an executor that is lost costs that round.
+    """
+    state = stored(rows.withColumns({"x": F.lit(0.5), "dual": F.array_repeat(F.lit(0.0), len(rules) + 2), "moved": F.lit(1.0)}))
+    with_sums = lambda df, keys, c, out, f: df.join(df.groupBy(*keys).agg(f(c).alias(out), F.count("*").alias(f"n_{out}")), keys)
+    done = False
+    for k in range(1, rounds + 1):
+        v = [F.col("x") - F.col("dual")[i] for i in range(len(rules) + 2)]
+        wide = with_sums(state.withColumns({"v_own": v[-2], "v_same": v[-1]}), ["l"], "v_own", "sum", F.sum)
+        wide = with_sums(wide, ["g", "r"], "v_same", "mean", F.avg)
+        z = []
+        for rule, h, name in zip(rules, v, names):
+            bound, m = (F.col(name) if rule.pulls else 1 - F.col(name)), rule.weight / step
+            z.append(F.when(h >= bound, h).otherwise(F.least(h + m, bound)) if rule.pulls else F.when(h <= bound, h).otherwise(F.greatest(h - m, bound)))
+        z.append(v[-2] - F.greatest(F.lit(0.0), (F.col("sum") - 1) / F.col("n_sum")))
+        z.append((step * v[-1] + agree * F.col("mean")) / (step + agree))
+        mean = (step * sum((a + F.col("dual")[i] for i, a in enumerate(z)), F.lit(0.0)) + hold / 2) / (step * len(z) + hold)
+        wide = wide.withColumns({"z": F.array(*z), "new": F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean))})
+        apart = F.transform("z", lambda a: a - F.col("new"))
+        moved = F.greatest(F.abs(F.col("new") - F.col("x")), F.array_max(F.transform(apart, F.abs)))
+        before, state = state, stored(wide.select("l", "r", "g", *names, F.col("new").alias("x"), F.zip_with("dual", apart, lambda d, a: d + a).alias("dual"), moved.alias("moved")))
+        drop(before)
+        if k % LOOK == 0 and (state.agg(F.max("moved")).first()[0] or 0.0) < close:
+            done = True
             break
-    return x
+    return state.select("l", "r", F.col("x").alias("confidence"), F.lit(done).alias("converged"))
 
 
-def match(links: DataFrame, left: str, right: str, group: str, rules: list[Rule], *, agree: float = 1.0) -> DataFrame:
-    """left, right and confidence of every candidate link.
+def match(links: DataFrame, left: str, right: str, group: str, rules: list[Rule], *, agree: float = 1.0, block_links: int = BLOCK_LINKS) -> DataFrame:
+    """left, right, confidence and converged of every candidate link.
 
-    links has one row per candidate: repeated rows are taken as one. Null truths count as 0, links
-    with a null id are left out, a null group is the left entity's own. An empty table gives an
-    empty result; other columns are ignored.
+    converged: the value stands still up to CLOSE. links has one row per candidate: repeated rows are
+    taken as one. Null truths count as 0, links with a null id are left out, a null group is the left
+    entity's own. An empty table gives an empty result; other columns are ignored.
     """
     own = F.coalesce(F.col(group).cast("string"), F.col(left).cast("string"))
-    truths = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(r.truth.cast("double"), F.lit(0.0)))).alias(f"t{i}") for i, r in enumerate(rules)]
+    truths = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(r.truth.cast("double"), F.lit(0.0)))).cast("float").alias(f"t{i}") for i, r in enumerate(rules)]
     names = [f"t{i}" for i in range(len(rules))]
-    rows = links.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("l"), F.col(right).alias("r"), own.alias("g"), *truths).groupBy("l", "r", "g").agg(*[F.max(t).alias(t) for t in names])
-    rows = stored(rows)
-    blocks = max(1, math.ceil(rows.count() / BLOCK_LINKS))
+    rows = links.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(F.col(left).alias("l"), F.col(right).alias("r"), F.xxhash64(own).alias("g"), *truths)
+    rows = stored(rows.groupBy("l", "r", "g").agg(*[F.max(t).alias(t) for t in names]))
+    blocks = max(1, math.ceil(rows.count() / block_links))
     weight, pulls = np.array([r.weight for r in rules]), np.array([r.pulls for r in rules])
     kinds = dict(links.dtypes)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         truth = pdf[names].to_numpy(float)
-        l = pd.factorize(pdf["l"])[0]
+        l, g = pd.factorize(pdf["l"])[0], pd.factorize(pdf["g"])[0]
         s = pdf.groupby(["g", "r"], sort=False).ngroup().to_numpy()
-        return pd.DataFrame({left: pdf["l"], right: pdf["r"], "confidence": solve(truth, weight, pulls, l, s, agree)})
-
-    return rows.withColumn("block", F.pmod(F.xxhash64("g"), F.lit(blocks))).groupBy("block").applyInPandas(one, f"`{left}` {kinds[left]}, `{right}` {kinds[right]}, confidence double")
+        value, settled = solve(truth, weight, pulls, l, s, agree, g)
+        return pd.DataFrame({left: pdf["l"], right: pdf["r"], "confidence": value, "converged": settled})
+
+    large = stored(rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > block_links).select("g"))
+    wide = not large.isEmpty()
+    small = joined(rows, large, "g", "left_anti") if wide else rows
+    found = small.withColumn("block", F.pmod("g", F.lit(blocks))).groupBy("block").applyInPandas(one, f"`{left}` {kinds[left]}, `{right}` {kinds[right]}, confidence double, converged boolean")
+    if not wide:
+        return found
+    return found.union(solve_wide(joined(rows, large, "g", "left_semi"), names, rules, agree))
