@@ -181,6 +181,7 @@ def candidates(h: DataFrame, u: DataFrame, near_family: float) -> DataFrame:
     near = words_u.join(words_h, ["org", "w"]).where((F.col("uf") == F.col("hf")) | long).select("org", "uf", "hf", F.when(F.col("uf") == F.col("hf"), 1.0).otherwise(near_family).alias("alike")).distinct()
     shown = lambda v, s: F.struct(v.alias("v"), s.alias("s"))
     kinds = F.array(*[shown(F.col("version") if v else F.lit(None).cast("string"), F.col("size") if s else F.lit(None).cast("string")) for v in (0, 1) for s in (0, 1)])
+    kinds = F.filter(kinds, lambda k: ~k["v"].eqNullSafe(F.lit("")) & ~k["s"].eqNullSafe(F.lit("")))  # nobody says that there is none
     hh = h.select("h", F.col("org").alias("o"), *[F.col(x).alias(f"h_{x}") for x in ("family", *said)], "ctxs", F.explode(kinds).alias("key"))
     some = lambda x: F.when(F.size(x) > 0, F.col(x)).otherwise(F.array(F.lit(None).cast("string")))
     uu = u.withColumn("uf", F.explode("family")).withColumn("_v", F.explode(some("version"))).withColumn("_s", F.explode(some("size"))).withColumn("key", shown(F.col("_v"), F.col("_s"))).drop("_v", "_s")

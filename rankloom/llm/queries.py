@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.mixing import mixed
 from rankloom.llm.model_names import linked_models
-from rankloom.llm.packing import fill, packed
+from rankloom.llm.packing import cut_items, fill, packed, totals
 from rankloom.llm.subjects import subject_posteriors, subjects_of
 from rankloom.llm.survivors import Claimed, Roles, records, survivors, true_values
 from rankloom.sources.tables import table
@@ -71,14 +71,18 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only a text of more than a container's tokens has a second part."""
-    return p6_containers(spark, sf_dir).where("part = 1").select("doc_id")
+    """The texts that the packing laid into several containers: those that had to be cut."""
+    return cut_items(p6_containers(spark, sf_dir), "doc_id")
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill(p6_containers(spark, sf_dir))
 
 
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return totals(p6_containers(spark, sf_dir))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source")
 
@@ -109,7 +113,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("subject").agg(F.count_if(F.col("posterior") >= 0.5).alias("documents"), F.avg("share").alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p5_found, p5_survivors, p5_records, p5_true_values, p6_found, p6_containers, p6_fill, p7_found, p7_copies, p7_shares, p8_found, p8_posteriors, p8_composition)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p5_found, p5_survivors, p5_records, p5_true_values, p6_found, p6_containers, p6_fill, p6_totals, p7_found, p7_copies, p7_shares, p8_found, p8_posteriors, p8_composition)}
 P5_RECORDS = f"""
 SELECT group_id, max(CASE WHEN field_name = 'arena_elo' THEN c.arena_elo END) AS arena_elo, max(CASE WHEN field_name = 'hf_id' THEN c.hf_id END) AS hf_id, max(CASE WHEN field_name = 'downloads' THEN c.downloads END) AS downloads
 FROM ({P5_FOUND}) f JOIN catalog_rows c USING (group_id, row_id) GROUP BY group_id

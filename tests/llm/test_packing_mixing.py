@@ -2,13 +2,14 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rankloom.llm.mixing import mixed
-from rankloom.llm.packing import fill, packed, plan
+from rankloom.llm.packing import _lookups, cut_items, fill, packed, plan, totals
 from rankloom.llm.tokens import encoding, ordinals, token_count, FOLDER, VOCABULARY
 
 TEXTS = "doc_id bigint, text string, source string, k string, n int, size int, o int, tokens int, t string"
@@ -24,18 +25,45 @@ def test_plan_places_every_item_once(counts):
     patterns = plan(counts, 64, [8, 16, 32, 64])
     held = Counter()
     for p in patterns:
-        assert 0 < sum(s * n for s, n in p.sizes.items()) <= 64 and p.times > 0
+        assert 0 < sum(s * n for s, n in p.sizes.items()) <= p.window and p.times > 0 and p.window in (8, 16, 32, 64)
         for s, n in p.sizes.items():
             held[s] += n * p.times
     assert held == Counter({s: n for s, n in counts.items() if n})
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(0, 40), max_size=30), st.sampled_from([[8, 16, 32, 64], [64], [10, 24, 64]]))
+def test_every_window_has_a_place_in_one_container(counts, tiers):
+    patterns = plan(counts, 64, tiers)
+    items, windows, total = _lookups(patterns, 64)
+    number = Counter()
+    for p in patterns:
+        number[p.window] += p.times
+    held, seen = Counter(), Counter()
+    for w, n in number.items():
+        for j in range(n):
+            row = windows[np.searchsorted(windows[:, 0], w * 2**40 + j, side="right") - 1]
+            assert row[0] // 2**40 == w
+            held[row[2] + j - row[1]] += w
+            seen[w] += 1
+    assert seen == number and sorted(held) == list(range(total)) and (not held or max(held.values()) <= 64)
+
+
+def test_tiers_steer_the_plan():
+    counts = {30: 7, 20: 9, 9: 30, 3: 50}
+    key = lambda tiers: sorted((p.window, sorted(p.sizes.items()), p.times) for p in plan(counts, 64, tiers))
+    assert len({str(key(t)) for t in ([64], [32, 64], [16, 32, 64])}) == 3
+    assert {p.window for p in plan({5: 4, 40: 1}, 64, [8, 64])} == {64}  # the gap of the long window takes the shorter tier
+    assert [(p.window, p.times) for p in plan({5: 4}, 64, [8, 64])] == [(8, 4)]
+
+
 def test_plan_leaves_little_room():
     r = random.Random(1)
     counts = Counter(min(4096, int(r.lognormvariate(5.5, 1))) + 1 for _ in range(20000))
-    counts = Counter({min(4096, s): 0 for s in counts}) + Counter({min(4096, s): n for s, n in counts.items()})
+    counts = Counter({min(4096, s): n for s, n in counts.items()})
     used = sum(s * n for s, n in counts.items())
-    assert sum(p.times for p in plan(counts, 4096, [512, 1024, 2048, 4096])) <= math.ceil(used / 4096) * 1.01 + 1
+    for tiers in ([4096], [512, 1024, 2048, 4096]):
+        assert _lookups(plan(counts, 4096, tiers), 4096)[2] <= math.ceil(used / 4096) * 1.01 + 1
 
 
 def test_tokens_round_trip_and_count(rows):
@@ -57,7 +85,7 @@ def test_packed(rows):
         if x.container_id is not None:
             room[x.container_id] += x.tokens
     assert set(by) == set(range(len(texts))) and max(room.values()) <= 100 and sorted(room) == list(range(len(room)))
-    assert len(room) <= max(math.ceil(sum(x.tokens for x in got) / 100), sum(x.tokens > 50 for x in got)) + 1
+    assert len(room) <= 1.02 * max(math.ceil(sum(x.tokens for x in got) / 100), sum(x.tokens > 50 for x in got)) + 1
     assert [(x.part, x.first_token, x.tokens) for x in sorted(by[300], key=lambda x: x.part)] == [(0, 0, 100), (1, 100, 100), (2, 200, 50)]
     assert len(by[301]) == 1 and len(by[302]) == 2 and [(x.tokens, x.container_id, x.step) for x in by[303] + by[304]] == [(0, None, None)] * 2
     steps = Counter()
@@ -65,12 +93,23 @@ def test_packed(rows):
         if x.step is not None:
             steps[x.step] += x.tokens**2
     assert max(steps.values()) < 1.5 * sorted(steps.values())[len(steps) // 2]
-    assert sum(f.containers for f in fill(packed(df, "doc_id", "text", capacity=100, tiers=(10, 50)), 100).collect()) == len(room)
+    windows = Counter()
+    for x in got:
+        if x.window is not None:
+            windows[x.window, x.window_id] += x.tokens
+            assert x.tokens <= x.tier <= x.window and x.tier in (10, 50, 100)
+    assert all(n <= w for (w, _), n in windows.items()) and len({(x.window, x.window_id, x.container_id) for x in got if x.window}) == len(windows)
+    again = packed(df, "doc_id", "text", capacity=100, tiers=(10, 50), group=4)
+    assert {f.window: (f.windows, f.tokens) for f in fill(again).collect()} == {w: (sum(k[0] == w for k in windows), sum(n for k, n in windows.items() if k[0] == w)) for w in {k[0] for k in windows}}
+    t = totals(again, 100).first()
+    assert (t.tokens, t.containers, t.fullest, t.steps, t.most_cost) == (sum(room.values()), len(room), max(room.values()), len(steps), max(steps.values()))
+    assert sorted(x.doc_id for x in cut_items(again, "doc_id").collect()) == [300, 302]
 
 
 def test_packed_nothing(rows):
     assert packed(docs(rows, []), "doc_id", "text").collect() == []
     assert [x.container_id for x in packed(docs(rows, [None, ""]), "doc_id", "text").collect()] == [None, None]
+    assert tuple(totals(packed(docs(rows, []), "doc_id", "text")).first()) == (0, 0, 0, 0, None, 0, None, None)
 
 
 def test_ordinals_of_one_huge_group(spark):
