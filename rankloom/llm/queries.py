@@ -9,7 +9,7 @@ from rankloom.llm.mixing import mixed
 from rankloom.llm.model_names import linked_models
 from rankloom.llm.packing import cut_items, fill, packed, totals
 from rankloom.llm.subjects import subject_posteriors, subjects_of
-from rankloom.llm.survivors import Claimed, Roles, records, survivors, true_values
+from rankloom.llm.survivors import Claimed, Roles, agreement, records, survivors, true_values
 from rankloom.sources.tables import table
 
 
@@ -33,17 +33,26 @@ def _catalog() -> Roles:
     )
 
 
+def _survivors(spark: SparkSession, sf_dir: str, with_belief: bool) -> DataFrame:
+    return survivors(table(spark, sf_dir, "catalog_rows"), table(spark, sf_dir, "collectors"), _catalog(), with_belief=with_belief)
+
+
 def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors(table(spark, sf_dir, "catalog_rows"), table(spark, sf_dir, "collectors"), _catalog())
+    return _survivors(spark, sf_dir, True).drop("text", "best")
+
+
+def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By field, how often the model believes the required survivor most."""
+    return agreement(_survivors(spark, sf_dir, True))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_survivors(spark, sf_dir).select("group_id", "field_name", "row_id")
+    return _survivors(spark, sf_dir, False).select("group_id", "field_name", "row_id")
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record built for each group, with its fields in their types."""
-    found = records(p5_survivors(spark, sf_dir), "group_id", ["arena_elo", "hf_id", "downloads"])
+    found = records(_survivors(spark, sf_dir, False), "group_id", ["arena_elo", "hf_id", "downloads"])
     return found.select("group_id", F.col("arena_elo").cast("double"), "hf_id", F.col("downloads").cast("bigint"))
 
 
@@ -113,7 +122,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("subject").agg(F.count_if(F.col("posterior") >= 0.5).alias("documents"), F.avg("share").alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p5_found, p5_survivors, p5_records, p5_true_values, p6_found, p6_containers, p6_fill, p6_totals, p7_found, p7_copies, p7_shares, p8_found, p8_posteriors, p8_composition)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_matches, p5_found, p5_survivors, p5_agreement, p5_records, p5_true_values, p6_found, p6_containers, p6_fill, p6_totals, p7_found, p7_copies, p7_shares, p8_found, p8_posteriors, p8_composition)}
 P5_RECORDS = f"""
 SELECT group_id, max(CASE WHEN field_name = 'arena_elo' THEN c.arena_elo END) AS arena_elo, max(CASE WHEN field_name = 'hf_id' THEN c.hf_id END) AS hf_id, max(CASE WHEN field_name = 'downloads' THEN c.downloads END) AS downloads
 FROM ({P5_FOUND}) f JOIN catalog_rows c USING (group_id, row_id) GROUP BY group_id

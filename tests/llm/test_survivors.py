@@ -41,7 +41,9 @@ def test_model_learns_who_is_right(rows):
         for who, value in (("good", 100 + g), ("fair", 100 + g if g % 3 else 7 + g), ("fine", 100 + g if g % 4 else 9000 + g), ("bad", 10 + g if g % 5 else 100 + g)):
             n += 1
             data.append(row(n, g, who, T[0], down=value))
-    got, quality = beliefs(rows(data, SCHEMA), _catalog())
+    got, model = beliefs(rows(data, SCHEMA), _catalog())
+    quality = model.quality
+    assert model.converged and set(quality) == {("downloads", w) for w in ("good", "fair", "fine", "bad")} and not beliefs(rows(data, SCHEMA), _catalog(), rounds=2)[1].converged
     assert quality["downloads", "good"][0] > quality["downloads", "bad"][0] and quality["downloads", "good"][1] > quality["downloads", "bad"][1]
     b = {(r.g, r.v): r.belief for r in got.collect()}
     assert all(b[g, str(100 + g)] > 0.5 for g in range(60)) and sum(b.get((g, str(10 + g)), 0) < 0.5 for g in range(60)) == 60
@@ -50,3 +52,40 @@ def test_model_learns_who_is_right(rows):
 def test_several_values_may_be_true(rows):
     data = [row(4 * g + i, g, who, T[0], hf=hf) for g in range(40) for i, (who, hf) in enumerate([("a", "o/x"), ("a", "o/y"), ("b", "o/x"), ("b", "o/y")])]
     assert {r.value for r in true_values(rows(data, SCHEMA), _catalog()).where("group_id = 3").collect()} == {"o/x", "o/y"}
+
+
+def test_agreement_and_many_sources(rows):
+    from rankloom.llm.survivors import agreement
+
+    data = [row(3 * g + i, g, who, T[i], down=v) for g in range(30) for i, (who, v) in enumerate([(f"a{g}", 5), ("high", 6 if g % 3 else 5), ("b", 6)])]
+    trust = rows([("high", 5)], "collector string, trust int")
+    found = survivors(rows(data, SCHEMA), trust, _catalog()).collect()
+    assert {r.row_id % 3 for r in found} == {1} and all(0 <= r.belief <= 1 for r in found) and len(found) == 30
+    got = agreement(survivors(rows(data, SCHEMA), trust, _catalog())).collect()
+    assert [(r.field_name, r.survivors, r.believed_most) for r in got] == [("downloads", 30, sum(r.text == r.best for r in found))]
+
+
+def test_beliefs_are_those_of_a_plain_loop(rows):
+    import random
+
+    r = random.Random(2)
+    data = [row(9 * g + i, g, who, T[0], down=100 + (0 if r.random() < q else r.randint(1, 2))) for g in range(40) for i, (who, q) in enumerate([("a", 0.9), ("b", 0.7), ("c", 0.4)]) if r.random() < 0.9]
+    got, model = beliefs(rows(data, SCHEMA), _catalog())
+    claims = {}
+    for x in data:
+        claims.setdefault(x[1], {}).setdefault(str(x[7]), set()).add(x[2])
+    facts = [(says, set.union(*vs.values()) - says) for vs in claims.values() for says in vs.values()]
+    q, prior = {s: (0.6, 0.9) for s in "abc"}, 0.5
+    for _ in range(model.rounds):
+        p = []
+        for says, denies in facts:
+            odds = prior / (1 - prior)
+            for s in says:
+                odds *= q[s][0] / (1 - q[s][1])
+            for s in denies:
+                odds *= (1 - q[s][0]) / q[s][1]
+            p.append(odds / (1 + odds))
+        part = lambda s, k: [(x, s in f[0]) for x, f in zip(p, facts) if s in f[0] | f[1]]
+        q = {s: ((sum(x for x, said in part(s, 0) if said) + 5) / (sum(x for x, _ in part(s, 0)) + 10), (sum(1 - x for x, said in part(s, 0) if not said) + 9) / (sum(1 - x for x, _ in part(s, 0)) + 10)) for s in "abc"}
+        prior = min(0.99, max(0.01, sum(p) / len(p)))
+    assert all(abs(a - b) < 1e-6 for s in "abc" for a, b in zip(q[s], model.quality["downloads", s]))
