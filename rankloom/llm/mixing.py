@@ -4,13 +4,14 @@ Every document gets a rate, the expected number of its copies. Of all rates that
 its target tokens and none more than its most repeats, those nearest (in relative entropy) to one
 copy each are exponentially tilted: rate = min(repeats, exp(lambda * tokens)), with one lambda a
 source. The lambdas solve a convex dual, by Newton steps: each is one aggregation over the counts of
-(source, size), and gives two sums a source. Rates become copies by an even rounding: along the
+(source, size), and gives three numbers a source. Rates become copies by an even rounding: along the
 documents of a source in order of size, the copies add up to the rates' sum within one at every place.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,49 +26,65 @@ def _rate(tilt: dict[str, float], most: dict[str, float], scale: float) -> Colum
     return F.when(F.col("tokens") > 0, F.least(top, F.exp(F.least(F.lit(700.0), flat(tilt)[F.col("source")] * F.col("tokens") / scale)))).otherwise(F.lit(0.0))
 
 
-def balanced(counts: DataFrame, targets: dict[str, float], most: dict[str, float], own: dict[str, int], *, rounds: int = 60, close: float = 1e-7) -> tuple[dict[str, float], float]:
-    """The lambda of each source (times a scale, which is given back). counts: source, tokens, n.
+@dataclass(frozen=True)
+class Balance:
+    """tilt: the lambda of each source, times scale. short: sources all of whose documents are at their most repeats, and that still miss their target. converged: all others meet it."""
 
-    A source that cannot reach its target even with all repeats gets the greatest tilt, one whose
-    target is 0 the least. The sums have a root between; a step that leaves the bounds found so far
-    is replaced by their middle.
+    tilt: dict[str, float]
+    scale: float
+    short: frozenset[str]
+    converged: bool
+
+
+def balanced(counts: DataFrame, targets: dict[str, float], most: dict[str, float], *, rounds: int = 500, close: float = 1e-7) -> Balance:
+    """Solves the dual. counts: source, tokens, n.
+
+    It starts where even a document of one token is at its most repeats: the sum there is all that a
+    source can give, and one that misses its target even so stays there. For the others the sums have
+    a root below, between bounds that each step narrows; a Newton step that leaves the bounds is
+    replaced by their middle. A target of 0 has its root at the least tilt.
     """
-    total, items = sum(own.values()), counts.agg(F.sum("n")).first()[0] or 0
-    scale = max(1.0, total / max(1, items))
-    huge = 700.0
-    tilt, low, high, open_ = {}, {}, {}, set()
-    for s, t in targets.items():
-        if t <= 0 or not own.get(s):
-            tilt[s] = -huge
-        elif own[s] * most[s] <= t:
-            tilt[s] = huge
-        else:
-            tilt[s], low[s], high[s] = 0.0, -huge, huge
-            open_.add(s)
+    total = counts.agg(F.sum(F.col("tokens") * F.col("n")).alias("t"), F.sum("n").alias("n")).first()
+    scale = max(1.0, (total.t or 0) / max(1, total.n or 0))
+    high = {s: scale * (math.log(max(most[s], 1.0)) + 1) for s in targets}
+    low = {s: -700.0 * scale for s in targets}
+    tilt = {s: high[s] if t > 0 else low[s] for s, t in targets.items()}
+    open_, short, first = {s for s, t in targets.items() if t > 0}, set(), True
     for _ in range(rounds):
         if not open_:
             break
-        rate = _rate(tilt, most, scale)
         top = F.create_map(*[F.lit(x) for kv in most.items() for x in kv])[F.col("source")]
-        got = F.col("n") * F.col("tokens") * F.col("r")
-        sums = counts.where(F.col("source").isin(sorted(open_))).withColumn("r", rate).groupBy("source").agg(F.sum(got).alias("f"), F.sum(F.when(F.col("r") < top, got * F.col("tokens") / scale).otherwise(0.0)).alias("d")).collect()  # a row a source
-        for r in sums:
-            s, miss = r.source, r.f - targets[r.source]
-            if abs(miss) <= close * targets[s] or high[s] - low[s] < 1e-12:
+        got, free = F.col("n") * F.col("tokens") * F.col("r"), (F.col("tokens") > 0) & (F.col("r") < top)
+        rows = counts.where(F.col("source").isin(sorted(open_))).withColumn("r", _rate(tilt, most, scale)).groupBy("source")
+        sums = {r.source: r for r in rows.agg(F.sum(got).alias("f"), F.sum(F.when(free, got * F.col("tokens") / scale).otherwise(0.0)).alias("d"), F.count_if(free).alias("free")).collect()}  # a row a source
+        for s in sorted(open_):
+            f, d, free_ = (sums[s].f, sums[s].d, sums[s].free) if s in sums else (0.0, 0.0, 0)
+            miss = f - targets[s]
+            if first and not free_ and miss < 0:
+                short.add(s)
+                open_.discard(s)
+                continue
+            if abs(miss) <= close * targets[s]:
                 open_.discard(s)
                 continue
             (high if miss > 0 else low)[s] = tilt[s]
-            step = tilt[s] - miss / r.d if r.d > 0 else math.nan
+            if first:  # from the untilted rates on
+                tilt[s] = 0.0 if low[s] < 0.0 < high[s] else (low[s] + high[s]) / 2
+                continue
+            step = tilt[s] - miss / d if d > 0 else math.nan
             tilt[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
-    return tilt, scale
+            if high[s] - low[s] < 1e-13 * scale:  # as near as numbers allow
+                open_.discard(s)
+        first = False
+    return Balance(tilt, scale, frozenset(short), not open_)
 
 
 def mixed(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, *, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(copies, report): copies has key, source, tokens, rate and copies of every document of a listed source.
 
     report has, of every listed source: target_share, max_repeats, own_tokens, target_tokens,
-    mixed_tokens, reached_share, documents, copies and falls_short (own tokens times repeats are
-    fewer than the target). The mix is to hold as many tokens as the documents of all listed sources
+    mixed_tokens, reached_share, documents, copies, falls_short (with all its documents at their most
+    repeats the solution still misses the target) and converged (the solution meets all other targets). The mix is to hold as many tokens as the documents of all listed sources
     together. targets lists few sources, as it comes to the driver; rows with a null source or share
     are left out, of a source listed twice the first in order of share holds, a null max_repeats is
     no limit. Documents of other sources or of none have no part in the mix; null and empty texts
@@ -83,8 +100,8 @@ def mixed(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, *
     own = {s: 0 for s in listed} | {r.source: int(r.own) for r in counts.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("own")).collect()}
     total = sum(own.values())
     goal, most = {s: share * total for s, (share, _) in listed.items()}, {s: m for s, (_, m) in listed.items()}
-    tilt, scale = balanced(counts, goal, most, own)
-    rate = _rate(tilt, most, scale) if listed else F.lit(0.0)
+    found = balanced(counts, goal, most)
+    rate = _rate(found.tilt, most, found.scale) if listed else F.lit(0.0)
     rows = counts.agg(F.sum("n")).first()[0] or 0
     # A source's documents stand in a line by size; copies are the whole numbers that the rates' sum passes at each.
     before = Window.partitionBy("source").orderBy("tokens").rowsBetween(Window.unboundedPreceding, -1)  # a row for each size
@@ -93,12 +110,12 @@ def mixed(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, *
     passed = lambda o: F.floor(F.col("start") + o * F.col("rate"))
     copies = even.select(F.col("k").alias(key), "source", "tokens", "rate", (passed(F.col("o") + 1) - passed(F.col("o"))).cast("bigint").alias("copies"))
     got = copies.groupBy("source").agg(F.count("*").alias("documents"), F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("tokens")).alias("mixed_tokens"))
-    lines = [(s, share, None if m == 2**31 else int(m), own[s], goal[s], own[s] * m < goal[s]) for s, (share, m) in listed.items()]
-    report = spark.createDataFrame(lines, "source string, target_share double, max_repeats int, own_tokens bigint, target_tokens double, falls_short boolean").join(got, "source", "left")
+    lines = [(s, share, None if m == 2**31 else int(m), own[s], goal[s], s in found.short, found.converged) for s, (share, m) in listed.items()]
+    report = spark.createDataFrame(lines, "source string, target_share double, max_repeats int, own_tokens bigint, target_tokens double, falls_short boolean, converged boolean").join(got, "source", "left")
     mix = F.coalesce("mixed_tokens", F.lit(0))
     whole = F.sum(mix).over(Window.partitionBy(F.lit(0)))  # of the listed sources, a row each
     report = report.select(
         "source", "target_share", "max_repeats", "own_tokens", "target_tokens", mix.alias("mixed_tokens"), F.try_divide(mix, whole).alias("reached_share"),
-        F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("copies", F.lit(0)).alias("copies"), "falls_short",
+        F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("copies", F.lit(0)).alias("copies"), "falls_short", "converged",
     )
     return copies, report

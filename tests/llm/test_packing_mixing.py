@@ -159,3 +159,16 @@ def test_mixed_limits(rows, repeats, share):
     texts = [" w" * (1 + i % 7) for i in range(400)]
     _, report = mix(rows, texts, {i: "a" if i % 2 else "b" for i in range(400)}, [("a", share, repeats), ("b", 1 - share, 1)])
     assert report["a"].falls_short == (repeats == 1)
+
+
+def test_balance_says_what_falls_short_and_what_is_open(rows):
+    from rankloom.llm.mixing import balanced
+
+    counts = rows([("a", 1, 10), ("a", 7, 10), ("b", 3, 100), ("c", 2, 5), ("e", 0, 9)], "source string, tokens int, n bigint")
+    most = {"a": 2.0, "b": 3.0, "c": float(2**31), "d": 4.0, "e": 2.0}
+    goal = {"a": 160.0, "b": 900.0001, "c": 1e6, "d": 1.0, "e": 5.0}
+    got = balanced(counts, goal, most)
+    assert got.short == {"b", "d", "e"} and got.converged and set(got.tilt) == set(goal)
+    assert not balanced(counts, {"a": 100.0}, {"a": 2.0}, rounds=2).converged
+    for t in (1e-3, 0.5, 80.0, 159.9, 160.0):
+        assert balanced(counts, {"a": t}, {"a": 2.0}).short == frozenset() and balanced(counts, {"a": t}, {"a": 2.0}).converged
