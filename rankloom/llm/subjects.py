@@ -8,7 +8,9 @@ words from the sentences' shares. The last passes take in the unlabelled documen
 
 Words and pairs of neighbouring words count by their hash, into `features` cells, so the model is a
 table of fixed size (features x subjects) that every worker holds; only such a table comes to the
-driver. A pass is a scan that emits each partition's sums; nothing else is shuffled.
+driver. The texts are read once, into a stored table of their words' hashes and sentences' lengths; a
+pass is a scan of that table, as arrays, that emits each partition's sums; nothing else is shuffled.
+Rounds end when the share of words that change their subject falls below a tolerance.
 
 At last each subject gets a logistic calibration, fitted on labelled documents, of the share of a
 document's sentences; a subject applies where its posterior is at least one half.
@@ -16,12 +18,15 @@ document's sentences; a subject applies where its posterior is at least one half
 
 from __future__ import annotations
 
+import math
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +57,10 @@ def mended(text: str) -> str:
 
 
 class Reader:
-    """Texts to the hashed features of their sentences."""
+    """Texts to the hashes of their sentences' words."""
 
-    def __init__(self, features: int):
-        self.features, self.known = features, {}
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
 
     def word(self, w: str) -> int:
         if (i := self.known.get(w)) is None:
@@ -85,18 +90,64 @@ class Reader:
         return units
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """feature ids, the sentence of each, and the document of each sentence."""
-        docs, lengths, words = [], [], []
-        for d, t in enumerate(texts):
-            for s in self.sentences(t):
-                docs.append(d)
+        """Words' hashes, the number of words of each sentence, and the number of sentences of each text."""
+        words, lengths, sentences = [], [], []
+        for t in texts:
+            found = self.sentences(t)
+            sentences.append(len(found))
+            for s in found:
                 lengths.append(len(s))
                 words.extend(s)
-        w, at = np.array(words, dtype=np.int64), np.repeat(np.arange(len(lengths)), lengths)
-        pair = at[1:] == at[:-1]
-        two = (w[:-1] * 1_000_003 + w[1:] * 7919 + 17)[pair]
-        ids = np.concatenate([w % self.features, (two ^ (two >> 15)) % self.features])
-        return ids, np.concatenate([at, at[1:][pair]]), np.array(docs, dtype=np.int64)
+        return np.array(words, dtype=np.int32), np.array(lengths, dtype=np.int32), np.array(sentences, dtype=np.int64)
+
+
+@dataclass(frozen=True)
+class Batch:
+    """Texts as arrays. first, pair: the cells of each word and of it with the next (after a sentence's last word: none, cell `features`); starts: each sentence's first word; doc: each sentence's text."""
+
+    first: np.ndarray
+    pair: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    doc: np.ndarray
+    texts: int
+
+
+def as_batch(words: np.ndarray, lengths: np.ndarray, sentences: np.ndarray, features: int) -> Batch:
+    w = words.astype(np.int64)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    pair = np.full(len(w), features, dtype=np.int64)
+    two = w[:-1] * 1_000_003 + w[1:] * 7919 + 17
+    pair[:-1] = (two ^ (two >> 15)) % features
+    pair[ends - 1] = features
+    return Batch(w % features, pair, ends - lengths, lengths, np.repeat(np.arange(len(sentences)), sentences), len(sentences))
+
+
+def featurised(docs: DataFrame) -> DataFrame:
+    """docs without text, but with words, lengths and n (sentences): what Reader.read gives of it."""
+    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for whole in batches:
+            for i in range(0, whole.num_rows, BATCH):
+                part = whole.slice(i, BATCH)
+                words, lengths, n = reader.read(part.column("text").to_pylist())
+                sentences = np.r_[0, np.cumsum(n)]
+                at = np.r_[0, np.cumsum(lengths, dtype=np.int64)][sentences]
+                lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(v)) for o, v in ((at, words), (sentences, lengths))]
+                keep = [c for c in part.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *lists, pa.array(n.astype(np.int32))], names=[*keep, "words", "lengths", "n"])
+
+    return docs.mapInArrow(run, f"{kinds}, words array<int>, lengths array<int>, n int")
+
+
+def batches_of(whole: pa.RecordBatch, features: int) -> Iterator[tuple[pa.RecordBatch, Batch]]:
+    """The rows of a batch of featurised texts, some at a time, and these as arrays."""
+    for i in range(0, whole.num_rows, BATCH):
+        part = whole.slice(i, BATCH)
+        words, lengths = (part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("words", "lengths"))
+        yield part, as_batch(words, lengths, part.column("n").to_numpy(zero_copy_only=False).astype(np.int64), features)
 
 
 def shares_of(scores: np.ndarray, docs: np.ndarray, n: int, allowed: np.ndarray | None, prior: np.ndarray, rounds: int = 5) -> np.ndarray:
@@ -114,8 +165,16 @@ def shares_of(scores: np.ndarray, docs: np.ndarray, n: int, allowed: np.ndarray
     return q
 
 
-def score(model: np.ndarray, ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    return np.column_stack([np.bincount(at, model[ids, c], n) for c in range(model.shape[1])])
+def score(model: np.ndarray, batch: Batch) -> np.ndarray:
+    """(sentences, subjects). model: (features + 1, subjects), the last row 0."""
+    if not len(batch.starts):
+        return np.zeros((0, model.shape[1]))
+    return np.add.reduceat(model[batch.first] + model[batch.pair], batch.starts, axis=0, dtype=np.float64)
+
+
+def with_none(model: np.ndarray) -> np.ndarray:
+    """The model with a row for the pair that is none."""
+    return np.vstack([model, np.zeros((1, model.shape[1]), dtype=model.dtype)])
 
 
 def complement_weights(counts: np.ndarray, background: int, smooth: float, blur: float = 0.05) -> np.ndarray:
@@ -146,36 +205,35 @@ def complement_weights(counts: np.ndarray, background: int, smooth: float, blur:
     return out
 
 
-def _pass(docs: DataFrame, names: list[str], model, prior: np.ndarray, background: int, in_background: float, features: int, weight: float, sharp: float) -> np.ndarray:
-    """The expected counts (features, subjects) over docs (text, labels)."""
+def _pass(docs: DataFrame, names: list[str], model: np.ndarray | None, prior: np.ndarray, background: int, in_background: float, features: int, weight: float, sharp: float) -> np.ndarray:
+    """The expected counts (features, subjects) over docs (featurised, with labels)."""
     held = docs.sparkSession.sparkContext.broadcast((model, prior))
     k = len(names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, prior = held.value
-        reader, total = Reader(features), np.zeros((features, k))
-        for pdf in batches:
-            for i in range(0, len(pdf), BATCH):
-                part = pdf.iloc[i : i + BATCH]
-                ids, at, doc = reader.read(list(part["text"]))
-                if not len(doc):
-                    continue
-                n, allowed, each = len(part), np.ones((len(part), k)), np.full(len(part), weight)
-                for j, labels in enumerate(part["labels"]):
-                    if labels is not None and len(labels):
+        model = None if model is None else with_none(model)
+        total = np.zeros((features + 1, k))
+        for whole in batches:
+            for part, b in batches_of(whole, features):
+                allowed, each = np.ones((b.texts, k)), np.full(b.texts, weight)
+                for j, labels in enumerate(part.column("labels").to_pylist()):
+                    if labels:
                         allowed[j] = UNDECIDED
                         allowed[j, background] = in_background
-                        allowed[j, [int(x) for x in labels]] = 1
+                        allowed[j, labels] = 1
                         each[j] = 1
-                scores = np.zeros((len(doc), k)) if model is None else sharp * score(model, ids, at, len(doc))
-                q = shares_of(scores, doc, n, allowed, prior) * each[doc][:, None]
+                scores = np.zeros((len(b.doc), k)) if model is None else sharp * score(model, b)
+                q = shares_of(scores, b.doc, b.texts, allowed, prior) * each[b.doc][:, None]
                 for c in range(k):
-                    total[:, c] += np.bincount(ids, q[at, c], features)
+                    per_word = np.repeat(q[:, c], b.lengths)
+                    total[:, c] += np.bincount(b.first, per_word, features + 1) + np.bincount(b.pair, per_word, features + 1)
+        total = total[:features]
         used = np.flatnonzero(total.sum(axis=1) > 1e-9)
-        yield pd.DataFrame({"feature": used.astype(np.int32)} | {f"c{c}": total[used, c] for c in range(k)})
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(total[used, c]) for c in range(k)]], names=["feature", *cols])
 
     cols = [f"c{c}" for c in range(k)]
-    sums = docs.select("text", "labels").mapInPandas(run, "feature int, " + ", ".join(f"{c} double" for c in cols))
+    sums = docs.select("labels", "words", "lengths", "n").mapInArrow(run, "feature int, " + ", ".join(f"{c} double" for c in cols))
     rows = sums.groupBy("feature").agg(*[F.sum(c).cast("float").alias(c) for c in cols]).toArrow()  # at most `features` rows
     held.destroy()
     out, at = np.zeros((features, k), dtype=np.float32), rows["feature"].to_numpy()
@@ -184,12 +242,25 @@ def _pass(docs: DataFrame, names: list[str], model, prior: np.ndarray, backgroun
     return out
 
 
-def train(docs: DataFrame, names: list[str], background: int, *, features: int = FEATURES, labelled_rounds: int = 4, all_rounds: int = 3, weight: float = 0.5, smooth: float = 0.1, sharp: float = SHARP, first_background: float = 0.15, most_labelled: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, prior). docs: key, text, labels (codes, or null).
+@dataclass(frozen=True)
+class Model:
+    """weights (features, subjects) and prior; moved: the share of words that changed subject in the last round over all texts; converged: less than the tolerance."""
+
+    weights: np.ndarray
+    prior: np.ndarray
+    moved: float
+    converged: bool
+    rounds: int
+
+
+def train(docs: DataFrame, names: list[str], background: int, *, features: int = FEATURES, labelled_rounds: int = 4, all_rounds: int = 20, still: float = 0.005, weight: float = 0.5, smooth: float = 0.1, sharp: float = SHARP, first_background: float = 0.15, most_labelled: int = 50_000) -> Model:
+    """docs: key, labels (codes, or null) and what featurised gives.
 
     In the first round, which knows no words yet, a labelled document's sentences are its subjects'
-    but for a share (about first_background) of the background. The rounds on labelled documents use at most most_labelled of them (those of the smallest hash
-    of the key); the later rounds all documents, labelled or not.
+    but for a share (about first_background) of the background. These rounds, which only find a start,
+    use at most most_labelled of the labelled documents (those of the smallest hash of the key); the
+    later ones all documents, labelled or not, until a round moves less than `still` of the words to
+    another subject, or there were all_rounds of them, which the result says.
     """
     labelled = docs.where(F.size("labels") > 0)
     n = labelled.count()
@@ -198,32 +269,37 @@ def train(docs: DataFrame, names: list[str], background: int, *, features: int =
     labelled = stored(labelled)
     k = len(names)
     prior, model = np.full(k, 1 / k), None
-    for r in range(labelled_rounds + all_rounds):
-        counts = _pass(labelled if r < labelled_rounds else docs, names, model, prior, background, first_background if r == 0 else 1.0, features, weight, sharp)
+    for r in range(labelled_rounds):
+        counts = _pass(labelled, names, model, prior, background, first_background if r == 0 else 1.0, features, weight, sharp)
+        model = complement_weights(counts, background, smooth)
+    before, moved, done = None, math.inf, 0
+    while moved >= still and done < all_rounds:
+        counts, done = _pass(docs, names, model, prior, background, 1.0, features, weight, sharp), done + 1
         model = complement_weights(counts, background, smooth)
-    return model, prior
+        if before is not None or not counts.any():
+            moved = 0.0 if not counts.any() else float(np.abs(counts - before).sum(dtype=np.float64) / counts.sum(dtype=np.float64) / 2)
+        before = counts
+    return Model(model, prior, moved, moved < still, done)
 
 
-def shares(docs: DataFrame, names: list[str], model: np.ndarray, prior: np.ndarray, *, sharp: float = SHARP) -> DataFrame:
-    """key, sentences, shares (of each subject, in the order of names)."""
-    held = docs.sparkSession.sparkContext.broadcast((model, prior))
+def shares(docs: DataFrame, names: list[str], model: Model, *, sharp: float = SHARP) -> DataFrame:
+    """key, sentences, shares (of each subject, in the order of names) of featurised docs."""
+    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.prior))
     k = len(names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, prior = held.value
-        reader = Reader(len(model))
-        for pdf in batches:
-            for i in range(0, len(pdf), BATCH):
-                part = pdf.iloc[i : i + BATCH]
-                ids, at, doc = reader.read(list(part["text"]))
-                n = len(part)
-                count, sums = np.bincount(doc, minlength=n), np.zeros((n, k))
-                if len(doc):
-                    q = shares_of(sharp * score(model, ids, at, len(doc)), doc, n, None, prior)
-                    sums = np.column_stack([np.bincount(doc, q[:, c], n) for c in range(k)])
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "sentences": count, "shares": list(sums / np.maximum(count, 1)[:, None])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, prior = held.value
+        features, weights = len(weights), with_none(weights)
+        for whole in batches:
+            for part, b in batches_of(whole, features):
+                count, sums = np.bincount(b.doc, minlength=b.texts), np.zeros((b.texts, k))
+                if len(b.doc):
+                    q = shares_of(sharp * score(weights, b), b.doc, b.texts, None, prior)
+                    sums = np.column_stack([np.bincount(b.doc, q[:, c], b.texts) for c in range(k)])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, b.texts * k + 1, k, dtype=np.int32)), pa.array((sums / np.maximum(count, 1)[:, None]).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(count.astype(np.int64)), lists], names=["key", "sentences", "shares"])
 
-    return docs.select("key", "text").mapInPandas(run, f"key {dict(docs.dtypes)['key']}, sentences bigint, shares array<double>")
+    return docs.select("key", "words", "lengths", "n").mapInArrow(run, f"key {dict(docs.dtypes)['key']}, sentences bigint, shares array<double>")
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, wanted: float = 0.22, held: float = 0.05, own_held: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
@@ -264,10 +340,13 @@ def subject_posteriors(df: DataFrame, labels: DataFrame, subjects: DataFrame, ke
     codes = F.create_map(*[F.lit(x) for kv in code.items() for x in kv])
     given = labels.where(F.col("subject").isin(names) & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_set(codes[F.col("subject")])).alias("labels"))
     texts = df.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    docs = joined(texts, stored(given), "key", "left")
-    model, prior = train(docs, names, back, most_labelled=most_labelled, **settings)
-    found = stored(shares(docs, names, model, prior, sharp=settings.get("sharp", SHARP)))
-    known = joined(found, stored(given), "key", "inner")
+    given = stored(given)
+    docs = stored(featurised(joined(texts, given, "key", "left")))
+    model = train(docs, names, back, most_labelled=most_labelled, **settings)
+    if not model.converged:
+        warnings.warn(f"subjects: after {model.rounds} rounds {model.moved:.1%} of the words still changed their subject in one")
+    found = stored(shares(docs, names, model, sharp=settings.get("sharp", SHARP)))
+    known = joined(found, given, "key", "inner")
     n = known.count()
     if n > most_labelled:
         known = known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * most_labelled / n))

@@ -66,13 +66,13 @@ def test_nothing(rows):
 
 
 def test_sentences_and_mending():
-    r = Reader(64)
+    r = Reader()
     assert len(r.sentences("Title\n\nOne is 14.5 here. Two!\n- Three?\n| a | b |")) == 3 and len(r.sentences("no stop at all\nnor here")) == 2 and r.sentences("") == []
     assert mended("FuÃŸball fÃ¼r alle") == "Fußball für alle" and mended("Ã alone") == "Ã alone" and mended("plain") == "plain"
 
 
 def test_every_word_is_in_a_sentence():
-    r = Reader(64)
+    r = Reader()
     lengths = lambda t: [len(s) for s in r.sentences(t)]
     assert lengths("<p>One is here.<br>Two more!<br/>Is <b>this</b> three?</p>") == [3, 2, 3]
     assert lengths("A title\n\nOne is here. Two.\n| a | b |\n| c | d |") == [5, 5]
