@@ -39,7 +39,7 @@ PIECES = re.compile(r"[^\W\d_]+|\d+|[.!?]+(?=[\s)\]\"'»”]|$)|\n")
 TAG = re.compile(r"</?([a-z][a-z0-9]*)(?:\s+[a-z:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))*\s*/?>")
 #: Tags within a line; any other ends one.
 INLINE = frozenset("a abbr b cite code del em font i ins kbd mark q s small span strike strong sub sup tt u wbr".split())
-BATCH = 1000
+BATCH = 4000
 UNDECIDED = 1e-3
 #: Words of a sentence are not independent: their weights are toned down.
 SHARP = 0.7
@@ -56,49 +56,60 @@ def mended(text: str) -> str:
     return text
 
 
+LINE, STOP, END = -1, -2, -3
+
+
+class Codes(dict):
+    """Of each piece of text: LINE, STOP, or a word's hash (one for all numbers), computed when first met."""
+
+    def __missing__(self, piece: str) -> int:
+        if piece == "\n":
+            code = LINE
+        elif piece[0] in ".!?":
+            code = STOP
+        else:
+            code = 0 if piece.isdigit() else zlib.crc32(piece.encode()) & 0x7FFFFFFF
+        if len(self) > 500_000:  # a cache, not a vocabulary
+            self.clear()
+        self[piece] = code
+        return code
+
+
 class Reader:
     """Texts to the hashes of their sentences' words."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def word(self, w: str) -> int:
-        if (i := self.known.get(w)) is None:
-            if len(self.known) > 500_000:  # a cache, not a vocabulary
-                self.known.clear()
-            i = self.known[w] = 0 if w.isdigit() else zlib.crc32(w.encode()) & 0x7FFFFFFF
-        return i
+        self.codes = Codes()
 
     def sentences(self, text: str) -> list[list[int]]:
-        """Words between ends, all of them. What lacks a stop (titles, tables) belongs to the next sentence, at the end to the last one; if nothing has a stop, lines are the sentences."""
-        units, lines, now = [], [], []
-        for p in PIECES.findall(TAG.sub(lambda t: " " if t[1] in INLINE else "\n", mended(text).lower())):
-            if p == "\n" or p[0] in ".!?":
-                if now:
-                    lines.append(now)
-                    now = []
-                    if p != "\n":
-                        units.append([w for line in lines for w in line])
-                        lines = []
-            else:
-                now.append(self.word(p))
-        if now:
-            lines.append(now)
-        if not units:
-            return lines
-        units[-1].extend(w for line in lines for w in line)
-        return units
+        words, lengths, _ = self.read([text])
+        return [part.tolist() for part in np.split(words, np.cumsum(lengths)[:-1])] if len(lengths) else []
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words' hashes, the number of words of each sentence, and the number of sentences of each text."""
-        words, lengths, sentences = [], [], []
+        """Words' hashes, the number of words of each sentence, and the number of sentences of each text.
+
+        Words between ends, all of them. What lacks a stop (titles, tables) belongs to the next
+        sentence, at the end to the last one; if nothing has a stop, lines are the sentences.
+        """
+        pieces: list[int] = []
+        code = self.codes.__getitem__
         for t in texts:
-            found = self.sentences(t)
-            sentences.append(len(found))
-            for s in found:
-                lengths.append(len(s))
-                words.extend(s)
-        return np.array(words, dtype=np.int32), np.array(lengths, dtype=np.int32), np.array(sentences, dtype=np.int64)
+            pieces.extend(map(code, PIECES.findall(TAG.sub(lambda t: " " if t[1] in INLINE else "\n", mended(t).lower()))))
+            pieces.append(END)
+        p = np.array(pieces, dtype=np.int64)
+        word = p >= 0
+        behind = np.r_[False, word[:-1]]  # an end ends something only right behind a word
+        text = np.r_[0, np.cumsum(p == END)[:-1]] if len(p) else np.zeros(0, dtype=np.int64)
+        begin = np.searchsorted(text, np.arange(len(texts)))
+        stops, lines = (np.r_[0, np.cumsum((p == mark) & behind)] for mark in (STOP, LINE))  # before each piece
+        each = lambda sums: sums[:-1] - sums[begin][text]
+        all_stops = np.r_[stops[begin[1:]], stops[-1:]] - stops[begin] if len(texts) else np.zeros(0, dtype=np.int64)
+        of = all_stops[text]
+        place = np.where(of > 0, np.minimum(each(stops), of - 1), each(lines))[word]
+        text = text[word]
+        new = np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])] if len(text) else np.zeros(0, dtype=bool)
+        starts = np.flatnonzero(new)
+        return p[word].astype(np.int32), np.diff(np.r_[starts, len(text)]).astype(np.int32), np.bincount(text[starts], minlength=len(texts))
 
 
 @dataclass(frozen=True)
@@ -213,7 +224,7 @@ def _pass(docs: DataFrame, names: list[str], model: np.ndarray | None, prior: np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, prior = held.value
         model = None if model is None else with_none(model)
-        total = np.zeros((features + 1, k))
+        total = np.zeros((k, features + 1))
         for whole in batches:
             for part, b in batches_of(whole, features):
                 allowed, each = np.ones((b.texts, k)), np.full(b.texts, weight)
@@ -225,10 +236,10 @@ def _pass(docs: DataFrame, names: list[str], model: np.ndarray | None, prior: np
                         each[j] = 1
                 scores = np.zeros((len(b.doc), k)) if model is None else sharp * score(model, b)
                 q = shares_of(scores, b.doc, b.texts, allowed, prior) * each[b.doc][:, None]
+                cells, of = np.concatenate([b.first, b.pair]), np.tile(np.repeat(np.arange(len(b.doc)), b.lengths), 2)
                 for c in range(k):
-                    per_word = np.repeat(q[:, c], b.lengths)
-                    total[:, c] += np.bincount(b.first, per_word, features + 1) + np.bincount(b.pair, per_word, features + 1)
-        total = total[:features]
+                    total[c] += np.bincount(cells, q[of, c], features + 1)
+        total = total[:, :features].T
         used = np.flatnonzero(total.sum(axis=1) > 1e-9)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(total[used, c]) for c in range(k)]], names=["feature", *cols])
 
