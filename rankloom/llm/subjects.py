@@ -39,7 +39,7 @@ PIECES = re.compile(r"[^\W\d_]+|\d+|[.!?]+(?=[\s)\]\"'»”]|$)|\n")
 TAG = re.compile(r"</?([a-z][a-z0-9]*)(?:\s+[a-z:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))*\s*/?>")
 #: Tags within a line; any other ends one.
 INLINE = frozenset("a abbr b cite code del em font i ins kbd mark q s small span strike strong sub sup tt u wbr".split())
-BATCH = 4000
+BATCH = 2500
 UNDECIDED = 1e-3
 #: Words of a sentence are not independent: their weights are toned down.
 SHARP = 0.7
@@ -180,7 +180,7 @@ def score(model: np.ndarray, batch: Batch) -> np.ndarray:
     """(sentences, subjects). model: (features + 1, subjects), the last row 0."""
     if not len(batch.starts):
         return np.zeros((0, model.shape[1]))
-    return np.add.reduceat(model[batch.first] + model[batch.pair], batch.starts, axis=0, dtype=np.float64)
+    return np.add.reduceat(model[batch.first] + model[batch.pair], batch.starts, axis=0)
 
 
 def with_none(model: np.ndarray) -> np.ndarray:
@@ -241,10 +241,10 @@ def _pass(docs: DataFrame, names: list[str], model: np.ndarray | None, prior: np
                     total[c] += np.bincount(cells, q[of, c], features + 1)
         total = total[:, :features].T
         used = np.flatnonzero(total.sum(axis=1) > 1e-9)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(total[used, c]) for c in range(k)]], names=["feature", *cols])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(total[used, c].astype(np.float32)) for c in range(k)]], names=["feature", *cols])
 
     cols = [f"c{c}" for c in range(k)]
-    sums = docs.select("labels", "words", "lengths", "n").mapInArrow(run, "feature int, " + ", ".join(f"{c} double" for c in cols))
+    sums = docs.select("labels", "words", "lengths", "n").mapInArrow(run, "feature int, " + ", ".join(f"{c} float" for c in cols))
     rows = sums.groupBy("feature").agg(*[F.sum(c).cast("float").alias(c) for c in cols]).toArrow()  # at most `features` rows
     held.destroy()
     out, at = np.zeros((features, k), dtype=np.float32), rows["feature"].to_numpy()
