@@ -79,3 +79,9 @@ def fit_summary(df: DataFrame, m: Machine, use: str = "score") -> str:
     if best is None:
         return f"Nothing fits {m.budget:.0f}GB at {m.quant.upper()}. Try a smaller quant, or a model under ~{largest_fitting(m):.0f}B params."
     return f"BEST PICK FOR {m.budget:.0f}GB {kind} @ {m.quant.upper()}: {best.name} · {best.params_b}B params · ~{best.need:.1f}GB to load · score {'—' if best.score is None else best.score}"
+
+
+def fit_line(df: DataFrame, m: Machine) -> DataFrame:
+    """One row, text: how many models fit, of how many of known size, and how needs are estimated."""
+    n = fitted(df, m).agg(F.count_if(F.col("fit").isin("fits", "tight")).alias("fit"), F.count("*").alias("all"))
+    return n.select(F.concat(F.col("fit"), F.lit(" MODELS FIT · "), F.col("all"), F.lit(f" OPEN-WEIGHT MODELS WITH KNOWN SIZE · EST. VRAM = PARAMS × {BYTES[m.quant]:g}B × {OVERHEAD:g} OVERHEAD")).alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.numbers import ago, nearest, percent_of
@@ -50,6 +50,12 @@ def podium(df: DataFrame, order: list[Column], places: int = 3) -> DataFrame:
     return top.select(place.alias("place"), "key", "name", "score", percent_of(F.col("score"), best).alias("pct"), F.coalesce(filled(stats), F.lit("—")).alias("stats"))
 
 
+def with_bars(shown: DataFrame) -> DataFrame:
+    """The rows shown, with pct: each score's share of the best among them (of 1 at least)."""
+    best = shown.agg(F.greatest(F.max("score"), F.lit(1.0)).alias("_best"))  # one row
+    return shown.join(F.broadcast(best)).withColumn("pct", percent_of(F.col("score"), F.col("_best"))).drop("_best")
+
+
 def link(hub: str, other: str) -> Column:
     """Where a row leads: to its hub page, or else to the other list's."""
     return F.when(filled(F.col("hf_id")).isNotNull(), F.concat(F.lit(hub), F.col("hf_id"))).otherwise(F.concat(F.lit(other), F.col("or_id")))
@@ -61,7 +67,12 @@ def badges(labels: dict[str, str]) -> Column:
     return F.array_compact(F.array(*marks, F.when(F.col("intelligence_index") != 0, "AA")))
 
 
-# How kinds of events are called.
+# How weights and kinds of events are called, the blend's line, and the ends of a weight's slider.
+WEIGHT_LABELS = {
+    "intelligence": "INTELLIGENCE", "coding": "CODING", "agentic": "AGENTIC", "arena": "ARENA ELO", "usage": "REAL USAGE", "downloads": "DOWNLOADS", "likes": "LIKES", "price": "CHEAP PRICE",
+}
+BLEND = "SCORE = WEIGHTED BLEND OF INTELLIGENCE · CODING · AGENTIC · ARENA · USAGE · DOWNLOADS · LIKES · PRICE"
+SLIDER = (0.0, 50.0)
 EVENT_LABELS = {"new_leader": "NEW #1", "new_model": "NEW MODEL", "big_climber": "CLIMBER", "price_drop": "PRICE DROP"}
 
 
@@ -81,3 +92,40 @@ def feed_view(events: DataFrame, now: float, hub: str) -> DataFrame:
 def shown_of(shown: DataFrame, whole: DataFrame) -> DataFrame:
     """One row: how many rows are shown, and of how many."""
     return shown.agg(F.count("*").alias("shown")).join(F.broadcast(whole.agg(F.count("*").alias("all"))))  # one row each
+
+
+def labelled(name: Column, labels: dict[str, str]) -> Column:
+    """The label of a name, or else the name itself."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), name), name)
+
+
+def slider(weight: Column) -> Column:
+    """A weight as a slider shows it; none is 0."""
+    return F.greatest(F.lit(SLIDER[0]), F.least(F.lit(SLIDER[1]), F.coalesce(weight.cast("double"), F.lit(0.0))))
+
+
+def weight_controls(spark: SparkSession, weights: dict[str, float]) -> DataFrame:
+    """signal, label and shown weight of every signal that has a label."""
+    rows = spark.createDataFrame([(n, weights.get(n)) for n in WEIGHT_LABELS], "signal string, weight double")  # fixed rows
+    return rows.select("signal", labelled(F.col("signal"), WEIGHT_LABELS).alias("label"), slider(F.col("weight")).alias("shown"))
+
+
+def freshness(ages: dict[str, float | None], labels: dict[str, str]) -> list[Column]:
+    """'LABEL 12s · LABEL 3m', a dash where a source was never read; as one Column, given in a list for select."""
+    parts = [F.concat(F.lit(f"{label} "), ago(F.lit(None if ages.get(k) is None else round(ages[k])).cast("bigint"))) for k, label in labels.items()]
+    return [F.concat_ws(" · ", *parts).alias("text")]
+
+
+def indexed_line(whole: DataFrame) -> DataFrame:
+    """One row, text: how many models there are."""
+    return whole.agg(F.count("*").alias("n")).select(F.concat(F.col("n"), F.lit(f" MODELS INDEXED · {BLEND}")).alias("text"))
+
+
+def shown_line(shown: DataFrame, whole: DataFrame) -> DataFrame:
+    """One row, text: how many models are shown, of how many."""
+    return shown_of(shown, whole).select(F.concat(F.col("shown"), F.lit(" / "), F.col("all"), F.lit(f" MODELS SHOWN · {BLEND}")).alias("text"))
+
+
+def empty_feed(snapshots: int, name: str = "rankloom") -> str:
+    """What an empty feed says, after a first reading and before it."""
+    return "No changes detected since the last sweep — the index is steady." if snapshots > 0 else f"Calibrating — {name} takes its first reading on the next sweep."

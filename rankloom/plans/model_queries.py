@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from rankloom.operators import entity, events, fit, score, views
 from rankloom.operators.history import tidy_key
 from rankloom.plans import model_sql as sql
 from rankloom.sources import readers, sinks
-from rankloom.sources.shared import stored, work_folder
+from rankloom.sources.shared import file_system, stored, work_folder
 from rankloom.sources.tables import table
 from rankloom.streaming import sweep as streaming
 
@@ -189,7 +192,7 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_slim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.slim(_states(spark, sf_dir)).drop("sources")
+    return events.slim(_states(spark, sf_dir)).withColumn("sources", F.to_json("sources"))
 
 
 def snapshot_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,37 +274,68 @@ def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_log_append_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.feed(_event_log(spark, sf_dir), None, None).select("batch", "ord")
+    """A batch of events a week, appended one by one; what the log then holds on disk."""
+    folder = work_folder(spark)
+    log = sinks.EventLog(spark, folder)
+    rows = table(spark, sf_dir, "events").select(F.floor(F.dayofyear("ts") / 7).cast("int").alias("week"), F.col("event_id").alias("ord"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("ts"))
+    for r in rows.select("week").distinct().orderBy("week").collect():  # some 53 a year
+        log.append(rows.where(F.col("week") == r.week).drop("week"), r.week)
+    return spark.read.parquet(folder).select("batch", "ord")
 
 
-def streaming_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+def swept(spark: SparkSession, sf_dir: str, states: Callable[[str], sinks.Snapshots]) -> DataFrame:
     """yearly_history, but by the stream: a file for each year, read one by one."""
     work = work_folder(spark)
     rows = yearly_states(spark, sf_dir)
     for r in rows.select("ts").distinct().orderBy("ts").collect():  # a row a year; files are read in the order they were written
-        rows.where(F.col("ts") == r.ts).coalesce(1).write.mode("append").parquet(f"{work}/ticks")
+        rows.where(F.col("ts") == r.ts).coalesce(1).write.mode("append").parquet(f"{work}/ticks")  # a tick is a file
     ticks = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/ticks")
     log = sinks.EventLog(spark, f"{work}/events", keep=2**31 - 1)
-    query = streaming.sweep(ticks, sinks.Snapshots(spark, f"{work}/states"), log, f"{work}/checkpoint")
+    query = streaming.sweep(ticks, states(f"{work}/states"), log, f"{work}/checkpoint")
     query.awaitTermination()
-    every = log.read(limit=None)
-    return _told(every.withColumns({"board": F.lit("orders"), "snapshot_id": F.col("ts").cast("bigint")}))
+    return _told(log.read(limit=None).withColumns({"board": F.lit("orders"), "snapshot_id": F.col("ts").cast("bigint")}))
+
+
+def streaming_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return swept(spark, sf_dir, lambda folder: sinks.Snapshots(spark, folder))
 
 
 def csv_lookup_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The arena list written as text and read as the arena source is."""
     path = f"{work_folder(spark)}/arena"
-    lines = table(spark, sf_dir, "arena_lines").select(F.concat_ws(",", "name", "elo", "line_id").alias("value"), "line_id")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    lines = table(spark, sf_dir, "arena_lines").select(F.concat(text("name"), F.lit(","), text("elo"), F.lit(","), text("line_id")).alias("value"), "line_id")
     head = spark.createDataFrame([("name,elo,line", -1)], "value string, line_id bigint")
-    head.unionByName(lines).coalesce(1).sortWithinPartitions("line_id").select("value").write.text(path)
+    head.unionByName(lines).repartitionByRange("line_id").sortWithinPartitions("line_id").select("value").write.text(path)
     rows = readers.arena_rows(spark, path)
     return entity.lookup_by_text(rows, "name", "elo", "at")
 
 
 def ttl_cache_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = readers.Kept(spark, work_folder(spark))
-    kept.fetched("hub", lambda: table(spark, sf_dir, "hub_models"))
-    return kept.fetched("hub", lambda: table(spark, sf_dir, "hub_models").limit(0)).agg(F.count("*").alias("rows"), F.count_distinct("rec_id").alias("ids"))
+    """What a table kept for an hour holds, by a clock that is set: at first, within and after the hour, forced, and broken."""
+    now, folder = [0.0], work_folder(spark)
+    kept = readers.Kept(spark, folder, clock=lambda: now[0])
+    hub, usage = (lambda: table(spark, sf_dir, "hub_models").select("rec_id")), (lambda: table(spark, sf_dir, "usage_models").select("rec_id"))
+    found = []
+
+    def step(name: str, at: float, read, force: bool = False) -> None:
+        now[0] = at
+        rows = kept.fetched("k", read, 3600, force)
+        sums = rows.agg(F.count("*").alias("rows"), F.count_distinct("rec_id").alias("ids"))
+        found.append(stored(sums.select(F.lit(name).alias("step"), "rows", "ids", F.lit(kept.age("k")).alias("age"))))  # now, as later steps replace the table
+
+    step("first", 100.0, hub)
+    step("within", 3700.0, usage)
+    step("after", 3701.0, usage)
+    step("forced", 3702.0, hub, force=True)
+    step("forced again", 3703.0, usage, force=True)
+    newest = kept._versions("k")[-1]
+    fs, path = file_system(spark, f"{newest}/broken.parquet")
+    out = fs.create(path, True)
+    out.write(bytearray(b"no table"))
+    out.close()
+    step("broken", 3704.0, hub)
+    return reduce(DataFrame.unionByName, found)
 
 
 def json_sources_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,7 +115,7 @@ every AS (
 ),
 numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY board, s ORDER BY place, key, pos) AS INT) AS ord FROM every)
 """
-BOARD_STATES = f"""WITH raw AS (SELECT row_id, snapshot_id AS s, board, ts, lower(trim(key, E' \\t\\r\\n')) AS key, name, rank, noise, usage_rank, ingested_at, coding_index AS coding, arena_elo AS arena,
+BOARD_STATES = f"""WITH raw AS (SELECT row_id, snapshot_id AS s, board, ts, lower(trim(key, E' \\t\\r\\n')) AS key, name, rank, noise, usage_rank, ingested_at, coding_index AS coding, arena_elo AS arena, sources,
   {_nan('', 'score', 'intelligence_index')}, CASE WHEN isnan(price_completion) THEN NULL ELSE price_completion END AS price FROM snapshots WHERE snapshot_id IS NOT NULL),
 kept AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY s, key ORDER BY ingested_at DESC NULLS LAST, row_id DESC) = 1),
 line AS (SELECT s, lag(s) OVER (PARTITION BY board ORDER BY o, s) AS before FROM (SELECT s, min(board) AS board, min(ts) AS o FROM kept GROUP BY s)),
@@ -186,7 +186,7 @@ SELECT {fit_cols}, section, CAST(row_number() OVER (ORDER BY section, a DESC, b
         "humanise_numbers": f"""SELECT o_orderkey, {_short('(o_totalprice * 1000)')} AS short, {_short('o_orderkey')} AS short_key, {_dollars('(o_totalprice / 1e9)')} AS dollars,
   CASE WHEN o_orderkey < 60 THEN o_orderkey || 's' WHEN o_orderkey < 3600 THEN CAST(floor(o_orderkey / 60 + 0.5) AS BIGINT) || 'm' ELSE CAST(floor(o_orderkey / 3600 + 0.5) AS BIGINT) || 'h' END AS ago,
   lpad(CAST(o_orderkey % 200 AS VARCHAR), CAST(greatest(2, length(CAST(o_orderkey % 200 AS VARCHAR))) AS INT), '0') AS padded, CAST(floor(o_totalprice + 0.5) AS BIGINT) AS nearest, {_r1('o_totalprice / 7')} AS tenth FROM orders""",
-        "snapshot_slim": f"{BOARD_STATES} SELECT key, name, rank, score, intelligence_index, CASE WHEN isnan(coding) THEN NULL ELSE coding END AS coding_index, usage_rank, CASE WHEN isnan(arena) THEN NULL ELSE arena END AS arena_elo, price AS price_completion, noise FROM kept",
+        "snapshot_slim": f"{BOARD_STATES} SELECT key, name, rank, score, intelligence_index, CASE WHEN isnan(coding) THEN NULL ELSE coding END AS coding_index, usage_rank, CASE WHEN isnan(arena) THEN NULL ELSE arena END AS arena_elo, price AS price_completion, noise, CASE WHEN sources IS NULL THEN NULL ELSE '[' || array_to_string(list_transform(sources, lambda x: coalesce('\"' || x || '\"', 'null')), ',') || ']' END AS sources FROM kept",
         "snapshot_latest": f"{BOARD_STATES} SELECT board, s AS snapshot_id, key, rank, score FROM kept JOIN (SELECT board, max(ts) AS ts FROM kept GROUP BY board) USING (board, ts)",
         "snapshot_retention": "SELECT snapshot_id, CAST(count(*) AS BIGINT) AS rows FROM snapshots WHERE snapshot_id IN (SELECT DISTINCT snapshot_id FROM snapshots ORDER BY snapshot_id DESC LIMIT 300) GROUP BY snapshot_id",
         "snapshot_count": "SELECT CAST(count(DISTINCT snapshot_id) AS BIGINT) AS snapshots FROM snapshots",
@@ -199,9 +199,10 @@ SELECT {fit_cols}, section, CAST(row_number() OVER (ORDER BY section, a DESC, b
 SELECT pair, (SELECT count(*) FROM states WHERE s = a) > 0 AND (SELECT count(*) FROM (SELECT key, rank, score FROM states WHERE s = a) x FULL JOIN (SELECT key, rank, score FROM states WHERE s = b) y
   ON x.key = y.key AND x.rank = y.rank AND x.score IS NOT DISTINCT FROM y.score WHERE x.key IS NULL OR y.key IS NULL) = 0 AS unchanged FROM pairs""",
         "event_feed": f"{CAPPED} SELECT ord, type FROM capped WHERE ts > (SELECT max(ts) FROM log) - 172800000000 ORDER BY batch DESC, ord LIMIT 50",
-        "event_log_append_cap": f"{CAPPED} SELECT batch, ord FROM capped",
+        "event_log_append_cap": "SELECT batch, ord FROM (SELECT CAST(floor(dayofyear(ts) / 7) AS INT) AS batch, event_id AS ord FROM events) ORDER BY batch DESC, ord LIMIT 500",
         "csv_lookup_scan": f"WITH {RATINGS} SELECT norm, elo FROM ratings",
-        "ttl_cache_roundtrip": "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT rec_id) AS BIGINT) AS ids FROM hub_models",
+        "ttl_cache_roundtrip": """WITH h AS (SELECT count(*) AS rows, count(DISTINCT rec_id) AS ids FROM hub_models), u AS (SELECT count(*) AS rows, count(DISTINCT rec_id) AS ids FROM usage_models)
+SELECT 'first' AS step, *, CAST(0 AS DOUBLE) AS age FROM h UNION ALL SELECT 'within', *, 3600 FROM h UNION ALL SELECT 'after', *, 0 FROM u UNION ALL SELECT 'forced', *, 0 FROM h UNION ALL SELECT 'forced again', *, 0 FROM u UNION ALL SELECT 'broken', *, 0 FROM h""",
         "json_sources_scan": "SELECT coalesce(downloads, 0) > 0 AS downloaded, CAST(count(*) AS BIGINT) AS n, CAST(sum(coalesce(likes, 0)) AS BIGINT) AS likes FROM hub_models GROUP BY 1",
     }
     return out | {f"diff_{k}": f"{yearly} {DIFF} AND type = '{k}'" for k in ("new_leader", "new_model", "big_climber", "price_drop")}

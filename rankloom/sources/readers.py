@@ -29,7 +29,8 @@ def hub_rows(spark: SparkSession, path: str, limit: int | None = 300, *, array:
         F.coalesce(filled(F.col("id")), F.col("modelId")).alias("hf_id"), F.coalesce("downloads", F.lit(0)).alias("downloads"), F.coalesce("likes", F.lit(0)).alias("likes"),
         F.col("createdAt").alias("created_at"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
     )
-    return rows if limit is None else rows.orderBy(F.col("downloads").desc(), "hf_id").limit(limit)
+    order = [F.col("downloads").desc(), F.col("hf_id").asc_nulls_first(), F.col("likes").desc(), F.col("created_at").asc_nulls_first()]
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
 
 
 def best_elo(arena: Column) -> Column:
@@ -37,13 +38,19 @@ def best_elo(arena: Column) -> Column:
     return F.array_max(F.filter(F.transform(arena, lambda a: a["elo"]), lambda e: e.isNotNull() & (e != 0)))
 
 
-def usage_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object whose `data` lists models by usage: usage_rank is the place in it, from 1."""
-    raw = spark.read.schema(USAGE).json(path, multiLine=True)
-    m = raw.select(F.posexplode("data").alias("pos", "m"))
+def usage_rows(spark: SparkSession, path: str, *, pages: bool = False, carried: str = "") -> DataFrame:
+    """A JSON object whose `data` lists models by usage: usage_rank is the place in it, from 1.
+
+    pages: such an object a line, each a part of a long list, with `offset`, the number of models
+    before it; these are read in parts. carried: further fields of the objects, as "name type, ...",
+    which all their models get.
+    """
+    more = [f.strip().split(" ")[0] for f in carried.split(",") if f.strip()]
+    raw = spark.read.schema(", ".join(x for x in (USAGE, "offset bigint", carried) if x)).json(path, multiLine=not pages)
+    m = raw.select(*more, F.coalesce("offset", F.lit(0)).alias("offset"), F.posexplode("data").alias("pos", "m"))
     index = lambda n: F.col(f"m.benchmarks.artificial_analysis.{n}").alias(n)
     return m.select(
-        F.col("m.id").alias("or_id"), F.col("m.name").alias("name"), filled(F.col("m.hugging_face_id")).alias("hf_id"), (F.col("pos") + 1).alias("usage_rank"), F.col("m.context_length").alias("context_length"),
+        *more, F.col("m.id").alias("or_id"), F.col("m.name").alias("name"), filled(F.col("m.hugging_face_id")).alias("hf_id"), (F.col("offset") + F.col("pos") + 1).cast("int").alias("usage_rank"), F.col("m.context_length").alias("context_length"),
         to_price(F.col("m.pricing.prompt")).alias("price_prompt"), to_price(F.col("m.pricing.completion")).alias("price_completion"),
         index("intelligence_index"), index("coding_index"), index("agentic_index"), best_elo(F.col("m.benchmarks.design_arena")).alias("arena_elo"),
     )

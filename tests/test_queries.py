@@ -1,9 +1,9 @@
 import pytest
 
-from rankloom.plans import data_queries, model_queries
+from rankloom.plans import data_queries, model_queries, service_queries
 from tests.compare import HERE, same
 
-CASES = [(m.QUERIES[n], m.SQL[n]) for m in (model_queries, data_queries) for n in m.SQL]
+CASES = [(m.QUERIES[n], m.SQL[n]) for m in (model_queries, service_queries, data_queries) for n in m.SQL]
 
 
 @pytest.mark.skipif(not HERE, reason="no test tables")
