@@ -122,15 +122,27 @@ def test_a_group_larger_than_a_block(rows, monkeypatch):
     r = random.Random(5)
     pairs, t = [(i, j) for i in range(4) for j in range(3)], [r.random() for _ in range(12)]
     rules = [Rule(F.col("t0"), 2.0), Rule(F.lit(1.0), 1.0, pulls=False)]
-    table = rows([(i, j, 1, x, 1.0) for (i, j), x in zip(pairs, t)], "l int, r int, g int, t0 double, t1 double")
+    table = rows([(i, j, 1, x, 1.0, 1 + i, 1 + j) for (i, j), x in zip(pairs, t)], "l int, r int, g int, t0 double, t1 double, m int, o int")
     got = {(x.l, x.r): (x.confidence, x.converged) for x in linkage.solve_wide(table, ["t0", "t1"], rules, 1.0, rounds=30).collect()}
     left, same = (np.array([p[k] for p in pairs]) for k in (0, 1))
-    value, _ = solve(np.array([[x, 1.0] for x in t]), np.array([2.0, 1.0]), np.array([True, False]), left, same, 1.0, rounds=30)
+    value, _ = solve(np.array([[x, 1.0] for x in t]), np.array([2.0, 1.0]), np.array([True, False]), left, same, 1.0, rounds=30, lefts=left + 1, rights=same + 1)
     assert got.keys() == set(pairs) and max(abs(got[p][0] - v) for p, v in zip(pairs, value)) < 1e-9 and not any(c for _, c in got.values())
-    data = [("big", f"u{i}", f"h{j}", 0.5) for i, j in pairs] + [(f"s{i}", f"v{i}", f"h{j}", r.random()) for i in range(5) for j in range(2)]
+    data = [("big", f"u{i}", f"h{j}", t[i % 2 * 3 + j % 3]) for i in range(7) for j in range(6) if (i, j) != (6, 5)] + [(f"s{i}", f"v{i}", f"h{j}", r.random()) for i in range(5) for j in range(2)]
+    df = rows(data, "g string, a string, b string, t0 double")
+    plain, one, none = ({(x.a, x.b): x.confidence for x in match(df, "a", "b", "g", rules, **k).collect()} for k in ({}, {"many_links": 10}, {"many_links": 0}))
+    assert plain.keys() == one.keys() == {x[1:3] for x in data} and max(abs(plain[k] - one[k]) for k in plain) < 1e-4 and max(abs(plain[k] - none[k]) for k in plain) < 1e-4
     monkeypatch.setattr(linkage, "solve_wide", lambda rows, names, *rest: rows.select("l", "r", F.lit(9.0).alias("confidence"), F.lit(True).alias("converged")))
-    sent = match(rows(data, "g string, a string, b string, t0 double"), "a", "b", "g", rules, block_links=10).collect()
-    assert len(sent) == 22 and {x.a for x in sent if x.confidence == 9.0} == {"u0", "u1", "u2", "u3"}
+    sent = match(df, "a", "b", "g", rules, many_links=10, task_links=5).collect()
+    assert len(sent) == len(data) and {x.a for x in sent if x.confidence == 9.0} == {f"u{i}" for i in range(7)}
+
+
+def test_what_is_alike_is_one(rows):
+    from rankloom.llm.linkage import alike
+
+    df = rows([(1, f"u{i}", f"h{j}", 0.5 if j < 3 else 0.9) for i in range(4) for j in range(5)] + [(1, "v", "h0", 0.5), (2, "u0", "h0", 0.5)], "g bigint, l string, r string, t0 double")
+    got = alike(df, ["t0"]).collect()
+    assert len(got) == 22 and {(x.l, x.r): (x.m, x.o) for x in got if x.g == 1} == {(f"u{i}", f"h{j}"): (4, 1 if j == 0 else 2) for i in range(4) for j in range(5)} | {("v", "h0"): (1, 1)}
+    assert len({x.a for x in got}) == 3
 
 
 def test_short_foreign_and_numbered_families(rows):
