@@ -129,6 +129,15 @@ def replayed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _yearly_log(spark, sf_dir, 2).read(limit=None).groupBy("batch").agg(F.count("*").alias("events"), F.max("ord").alias("last"))
 
 
+def stored_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each year's state saved, of which five are kept; the latest as it is read, with the number kept. Saved twice, a state takes its own place."""
+    rows, store = M.yearly_states(spark, sf_dir), sinks.Snapshots(spark, work_folder(spark))
+    for r in rows.select("ts").distinct().orderBy("ts").collect():  # a row a year
+        for _ in range(2):
+            store.save(rows.where(F.col("ts") == r.ts), r.ts, keep=5)
+    return store.latest().select("key", "rank", "score", "usage_rank", "price_completion", "noise", F.lit(store.count()).alias("snapshots"))
+
+
 class _Failing(sinks.Snapshots):
     """Cannot be written the first times that a tick comes."""
 
@@ -196,6 +205,6 @@ def status_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (hub_top300, web_source_scan, usage_list_scan, models_answer, news_answer, replayed_log, streaming_retry, delivered_events, scored_view, weight_sliders, machine_presets, feed_lines, status_texts)
+    for f in (hub_top300, web_source_scan, usage_list_scan, models_answer, news_answer, replayed_log, stored_states, streaming_retry, delivered_events, scored_view, weight_sliders, machine_presets, feed_lines, status_texts)
 }
 SQL = service_sql.all_sql(score.parse_weights(M.CUSTOM))

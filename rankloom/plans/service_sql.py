@@ -29,6 +29,7 @@ def all_sql(custom: dict[str, float] | None) -> dict[str, str]:
         "models_answer": f"{board(custom)} SELECT rank, key, name, score, or_id, downloads, price_completion, noise, params_b, local, {_r1('n_coding')} AS coding, {head.format(coding=(custom or {}).get('coding'))} FROM board",
         "news_answer": f"{kept} SELECT CAST(row_number() OVER (ORDER BY s DESC, ord) - 1 AS INT) AS pos, ord, type, key, rank, score, ts, headline, 7 AS snapshots, 21600 AS poll_interval FROM kept WHERE ts > 1996 ORDER BY s DESC, ord LIMIT 50",
         "replayed_log": f"{kept} SELECT CAST(s AS INT) AS batch, CAST(count(*) AS BIGINT) AS events, max(ord) AS last FROM kept GROUP BY s",
+        "stored_states": f"{YEAR_STATES} SELECT key, rank, score, usage_rank, price AS price_completion, noise, 5 AS snapshots FROM states WHERE s = (SELECT max(s) FROM states)",
         "streaming_retry": f"{yearly} SELECT board, CAST(s AS BIGINT) AS snapshot_id, ord, type, key, name, rank, score, headline, rank_delta, score_delta, old_price, new_price FROM numbered",
         "delivered_events": f"""{yearly} SELECT 'log' AS sent_to, CAST(row_number() OVER (ORDER BY ord) AS INT) AS pos, headline, '' AS type FROM numbered WHERE s = 1997
 UNION ALL SELECT 'channel', CAST(row_number() OVER (ORDER BY ord) AS INT), headline, type FROM numbered WHERE s = 1997 AND type IN ('new_leader', 'new_model')""",
