@@ -216,7 +216,8 @@ def linked_models(hub: DataFrame, usage: DataFrame, orgs: DataFrame, *, words: W
         pointed = pointed & (F.col(f"link_{x}") == F.col(f"h_{x}"))
     windows = F.array_contains("ctxs", F.col("ctx"))
     rules = [
-        Rule(F.when(least == 1, F.col("alike")), w.whole),
+        Rule(F.when((least == 1) & (F.col("alike") == 1), 1.0), w.whole),
+        Rule(F.when((least == 1) & (F.col("alike") < 1), F.col("alike")), w.whole * w.near_family),  # else it would cost the same to follow the near family as the very one
         Rule(F.when(least < 1, part), w.partly),
         Rule(F.when(pointed, F.col("alike")), w.pointed),
         Rule(F.when(windows, F.col("alike")), w.same_window),

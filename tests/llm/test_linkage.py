@@ -145,6 +145,12 @@ def test_what_is_alike_is_one(rows):
     assert len({x.a for x in got}) == 3
 
 
+def test_the_very_family_goes_before_one_an_edit_away(rows):
+    hub = [(1, "velmora/Vecukako-2.5-70B-Distill", []), (2, "velmora/Hecukako-2.5-70B-Distill", [])]
+    use = [(11, "velmora/vecukako-2p5-distill-70b", "Velmora: Vecukako 70 billion distilled", None, None), (12, "velmora/hecukako-2.5-70b", "HECUKAKO 2.5 Distill 70 B", None, None)]
+    assert linked(rows, hub, use) == [(1, 11), (2, 12)]
+
+
 def test_short_foreign_and_numbered_families(rows):
     hub = [(1, "velmora/Yi-34B-Chat", []), (2, "velmora/Qi-34B-Chat", []), (3, "velmora/O1", []), (4, "velmora/4.5", []), (5, "velmora/混元-7B", []), (6, "velmora/O3", [])]
     use = [(11, "velmora/yi-34b-chat", "Yi 34B Chat", None, None), (12, "velmora/qi-34b-chat", None, None, None), (13, "velmora/o1", "O1", None, None), (14, "velmora/4.5", None, None, None), (15, "velmora/混元-7b", "混元 7B", None, None)]
