@@ -33,26 +33,26 @@ def _catalog() -> Roles:
     )
 
 
-def _survivors(spark: SparkSession, sf_dir: str, with_belief: bool) -> DataFrame:
-    return survivors(table(spark, sf_dir, "catalog_rows"), table(spark, sf_dir, "collectors"), _catalog(), with_belief=with_belief)
+def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors(table(spark, sf_dir, "catalog_rows"), table(spark, sf_dir, "collectors"), _catalog())
 
 
 def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _survivors(spark, sf_dir, True).drop("text", "best")
+    return _survivors(spark, sf_dir).drop("text", "best")
 
 
 def p5_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By field, how often the model believes the required survivor most."""
-    return agreement(_survivors(spark, sf_dir, True))
+    return agreement(_survivors(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _survivors(spark, sf_dir, False).select("group_id", "field_name", "row_id")
+    return _survivors(spark, sf_dir).select("group_id", "field_name", "row_id")
 
 
 def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record built for each group, with its fields in their types."""
-    found = records(_survivors(spark, sf_dir, False), "group_id", ["arena_elo", "hf_id", "downloads"])
+    found = records(_survivors(spark, sf_dir), "group_id", ["arena_elo", "hf_id", "downloads"])
     return found.select("group_id", F.col("arena_elo").cast("double"), "hf_id", F.col("downloads").cast("bigint"))
 
 

@@ -6,9 +6,10 @@ Expectation-maximisation infers both together with the truth of every value, and
 judged one by one, several of a field may be true. A source that gives some usable value for a
 group denies the group's other values of that field.
 
-`survivors` picks the row whose value survives. Which row that is, is a fixed order of precedence
-(trust, recency, completeness, smallest id), which no estimate of quality can stand in for; the
-model says how far the survivor is to be believed.
+`survivors` picks among the claimed values the one that survives, and its row: by a fixed order of
+precedence (trust, recency, completeness, smallest id), which no estimate of quality may overrule,
+then by belief. So the model decides only where the order leaves several values, as rows of one id
+do; and it says how far each survivor is to be believed.
 
 Defined cases: a null source is one source of its own; a null group is a group; repeated rows of one
 source claim a value once; rows tie down to the smallest id; groups without a usable value of a
@@ -17,6 +18,7 @@ field have no row for it; empty tables give empty results; other columns are ign
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -154,31 +156,35 @@ def true_values(df: DataFrame, roles: Roles, *, least: float = 0.5) -> DataFrame
     return found.where(F.col("belief") >= least).select(F.col("g").alias(roles.group), F.col("f").alias("field_name"), F.col("v").alias("value"), "belief")
 
 
-def survivors(df: DataFrame, trust: DataFrame, roles: Roles, *, least_rows: int = 2, with_belief: bool = True) -> DataFrame:
+def survivors(df: DataFrame, trust: DataFrame, roles: Roles, *, least_rows: int = 2) -> DataFrame:
     """group, field_name, row, value, and belief: for each group of least_rows rows or more and each field with a usable value.
 
-    The rows come from the order of precedence alone; with_belief fits the model and adds how far it
-    believes each survivor, and its best: the value it believes most (of equal ones the least).
+    Every claimed value comes with the best of its rows by the order of precedence and with what the
+    model believes of it, and the survivor is the greatest by the one, then by the other (belief to
+    six digits, as it is found to a tolerance). best: the value that the model believes most (of
+    equal ones the least).
 
-    trust: source and trust (0 for any other source and for none). The greatest order of precedence
-    is kept on the map side, all fields in one aggregation, so a group of any size is no burden.
+    trust: source and trust (0 for any other source and for none). The greatest are kept on the map
+    side, first by value, then by group, so a group of any size is no burden.
     """
+    found, model = beliefs(df, roles)
+    if not model.converged:
+        warnings.warn(f"the model of the sources still moves after {model.rounds} rounds", stacklevel=2)
+    found = stored(found).select(F.col("g").alias("g2"), F.col("f").alias("f2"), F.col("v").alias("v2"), "belief")
     t = stored(trust.where(F.col(roles.source).isNotNull()).groupBy(F.col(roles.source).alias("s")).agg(F.max("trust").alias("trust")))
     filled = sum((F.col(c).isNotNull().cast("int") for c in roles.complete), F.lit(0))
-    values = [F.when(c.usable, F.struct(c.text.alias("text"), c.value.alias("value"))).alias(f"v{i}") for i, c in enumerate(roles.fields)]
-    rows = joined(df.select(F.col(roles.group).alias("g"), F.col(roles.row).alias("row"), F.col(roles.source).alias("s"), F.col(roles.recency).alias("at"), filled.alias("filled"), *values), t, "s", "left")
-    order = [F.coalesce("trust", F.lit(0)).alias("a"), F.col("at").alias("b"), F.col("filled").alias("c"), (-F.col("row")).alias("d")]
-    best = rows.groupBy("g").agg(F.count("*").alias("rows"), *[F.max(F.when(F.col(f"v{i}").isNotNull(), F.struct(*order, F.col(f"v{i}").alias("v")))).alias(f"f{i}") for i in range(len(values))])
-    each = F.array(*[F.struct(F.lit(c.name).alias("f"), (-F.col(f"f{i}.d")).alias("row"), F.col(f"f{i}.v.text").alias("v"), F.col(f"f{i}.v.value").alias("value")) for i, c in enumerate(roles.fields)])
-    kept = best.where(F.col("rows") >= least_rows).select("g", F.explode(each).alias("e")).where("e.row is not null").select("g", "e.f", "e.row", "e.v", "e.value")
-    names = [F.col("g").alias(roles.group), F.col("f").alias("field_name"), F.col("row").alias(roles.row), "value"]
-    if not with_belief:
-        return kept.select(*names)
-    found = stored(beliefs(df, roles)[0])
-    same = F.col("g").eqNullSafe(F.col("g2")) & (F.col("f") == F.col("f2"))
-    kept = kept.join(found.select(F.col("g").alias("g2"), F.col("f").alias("f2"), F.col("v").alias("v2"), "belief"), same & (F.col("v") == F.col("v2")), "left").drop("g2", "f2", "v2")
-    best = found.groupBy(F.col("g").alias("g2"), F.col("f").alias("f2")).agg(F.min_by("v", F.struct(-F.col("belief"), "v")).alias("best"))
-    return kept.join(best, same, "left").select(*names, "belief", F.col("v").alias("text"), "best")
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c.name).alias("f"), F.when(c.usable, c.text).alias("v"), c.value.alias("value")) for i, c in enumerate(roles.fields)])
+    rows = joined(df.select(F.col(roles.group).alias("g"), F.col(roles.row).alias("row"), F.col(roles.source).alias("s"), F.col(roles.recency).alias("at"), filled.alias("filled"), each.alias("e")), t, "s", "left")
+    order = F.struct(F.coalesce("trust", F.lit(0)).alias("a"), F.col("at").alias("b"), F.col("filled").alias("c"), (-F.col("row")).alias("d"))
+    claims = rows.select("g", order.alias("order"), F.explode("e").alias("e")).where("e.v is not null or e.i = 0")  # all rows of a group count
+    values = claims.groupBy("g", "e.i", "e.f", "e.v").agg(F.count("*").alias("n"), F.max(F.struct("order", "e.value")).alias("top"))
+    values = values.join(found, F.col("g").eqNullSafe(F.col("g2")) & (F.col("f") == F.col("f2")) & (F.col("v") == F.col("v2")), "left")
+    kept, most = F.struct("top.order", F.round("belief", 6).alias("sure"), "v", "top.value", "belief"), F.struct(-F.col("belief"), "v")
+    of = [(F.col("i") == i) & F.col("v").isNotNull() for i in range(len(roles.fields))]
+    groups = values.groupBy("g").agg(F.sum(F.when(F.col("i") == 0, F.col("n"))).alias("rows"), *[F.max(F.when(x, kept)).alias(f"f{i}") for i, x in enumerate(of)], *[F.min_by("v", F.when(x, most)).alias(f"b{i}") for i, x in enumerate(of)])
+    each = F.array(*[F.struct(F.lit(c.name).alias("f"), (-F.col(f"f{i}.order.d")).alias("row"), F.col(f"f{i}.v").alias("v"), F.col(f"f{i}.value").alias("value"), F.col(f"f{i}.belief").alias("belief"), F.col(f"b{i}").alias("best")) for i, c in enumerate(roles.fields)])
+    one = groups.where(F.col("rows") >= least_rows).select("g", F.explode(each).alias("e")).where("e.row is not null")
+    return one.select(F.col("g").alias(roles.group), F.col("e.f").alias("field_name"), F.col("e.row").alias(roles.row), "e.value", "e.belief", F.col("e.v").alias("text"), "e.best")
 
 
 def agreement(found: DataFrame) -> DataFrame:

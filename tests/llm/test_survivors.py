@@ -89,3 +89,21 @@ def test_beliefs_are_those_of_a_plain_loop(rows):
         q = {s: ((sum(x for x, said in part(s, 0) if said) + 5) / (sum(x for x, _ in part(s, 0)) + 10), (sum(1 - x for x, said in part(s, 0) if not said) + 9) / (sum(1 - x for x, _ in part(s, 0)) + 10)) for s in "abc"}
         prior = min(0.99, max(0.01, sum(p) / len(p)))
     assert all(abs(a - b) < 1e-6 for s in "abc" for a, b in zip(q[s], model.quality["downloads", s]))
+
+
+def test_the_model_decides_where_precedence_leaves_several_values(rows):
+    says = [("mid", 700), ("mid", 100), ("low", 100), ("lower", 100), ("lowest", 30)]  # one id from mid, with two values: the greater text is less believed
+    data = [row(9 * g + max(i, 1), g, who, T[0], down=v) for g in range(40) for i, (who, v) in enumerate(says)]
+    got = survivors(rows(data, SCHEMA), rows([("mid", 3)], "collector string, trust int"), _catalog()).collect()
+    assert len(got) == 40 and {(r.row_id % 9, r.value, r.text, r.best) for r in got} == {(1, "100", "100", "100")} and all(r.belief > 0.5 for r in got)
+
+
+def test_the_rows_found_rest_on_the_model(spark, rows, tmp_path):
+    from rankloom.llm.queries import QUERIES
+
+    data = [row(1, 1, "mid", T[0], down=5), row(2, 1, "high", T[1], down=6), row(3, 1, None, T[2], down=5)]
+    rows(data, SCHEMA).write.parquet(f"{tmp_path}/catalog_rows.parquet")
+    rows([("high", 5), ("mid", 3)], "collector string, trust int").write.parquet(f"{tmp_path}/collectors.parquet")
+    got = QUERIES["p5_found"](spark, str(tmp_path))
+    assert "belief" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [(1, "downloads", 2)] and QUERIES["p5_records"](spark, str(tmp_path)).first().downloads == 6
