@@ -51,21 +51,20 @@ class Roles:
     fields: tuple[Claimed, ...]
 
 
-def _claims(df: DataFrame, roles: Roles) -> DataFrame:
-    """g, f, v, s: each value a source claims of a field of a group, once."""
-    each = F.array(*[F.struct(F.lit(c.name).alias("f"), F.when(c.usable, c.text).alias("v")) for c in roles.fields])
-    return df.select(F.col(roles.group).alias("g"), F.coalesce(F.col(roles.source).cast("string"), F.lit("")).alias("s"), F.explode(each).alias("e")).where("e.v is not null").select("g", "e.f", "e.v", "s").distinct()
+def _claims(df: DataFrame, roles: Roles, *more: str) -> DataFrame:
+    """g, f, v, s, value: what each row claims of each field; and more columns of the row."""
+    each = F.array(*[F.struct(F.lit(c.name).alias("f"), F.when(c.usable, c.text).alias("v"), c.value.alias("value")) for c in roles.fields])
+    return df.select(F.col(roles.group).alias("g"), F.coalesce(F.col(roles.source).cast("string"), F.lit("")).alias("s"), *more, F.explode(each).alias("e")).where("e.v is not null").select("g", "e.f", "e.v", "s", "e.value", *more)
 
 
-def _patterns(df: DataFrame, roles: Roles) -> tuple[DataFrame, list[str]]:
-    """(g, f, v, says, denies; sources): the sources for and against each value, by their numbers; no more of either than there are sources."""
-    claims = stored(_claims(df, roles))
-    sources = stored(numbered(claims.select("s").distinct(), [F.col("s").asc()], "no"))
+def _patterns(claims: DataFrame, carried: tuple[Column, ...]) -> tuple[DataFrame, list[str]]:
+    """(g, f, v, says, denies, carried; sources): the sources for and against each value, by their numbers; no more of either than there are sources."""
+    sources = stored(numbered(stored(claims.select("s").distinct()), [F.col("s").asc()], "no"))
     claims = joined(claims, sources, "s").withColumn("no", F.col("no") - 1)
-    facts = claims.groupBy("g", "f", "v").agg(F.array_sort(F.collect_set("no")).alias("says"))
+    facts = claims.groupBy("g", "f", "v").agg(F.array_sort(F.collect_set("no")).alias("says"), *carried)
     cover = claims.groupBy(F.col("g").alias("g2"), F.col("f").alias("f2")).agg(F.array_sort(F.collect_set("no")).alias("cover"))
     both = facts.join(cover, F.col("g").eqNullSafe(F.col("g2")) & (F.col("f") == F.col("f2")))
-    return both.select("g", "f", "v", "says", F.array_except("cover", "says").alias("denies")), [r.s for r in sources.orderBy("no").collect()]
+    return both.withColumn("denies", F.array_except("cover", "says")).drop("g2", "f2", "cover"), [r.s for r in sources.orderBy("no").collect()]
 
 
 @dataclass(frozen=True)
@@ -95,7 +94,12 @@ def _chances(field: np.ndarray, says: pd.Series, denies: pd.Series, quality: np.
 
 
 def beliefs(df: DataFrame, roles: Roles, *, rounds: int = 500, close: float = 1e-4) -> tuple[DataFrame, Model]:
-    """g, f, v and belief of every claimed value; and the model of the sources.
+    """g, f, v and belief of every claimed value; and the model of the sources."""
+    return _beliefs(_claims(df, roles), roles, rounds=rounds, close=close)
+
+
+def _beliefs(claims: DataFrame, roles: Roles, *carried: Column, rounds: int = 500, close: float = 1e-4) -> tuple[DataFrame, Model]:
+    """The same from claims, with aggregates of the claims of each value.
 
     Values with the same sources for and against are alike to the model, so they are counted by that
     pattern once, and a round is one pass over the counts that gives four sums for each field and
@@ -104,12 +108,12 @@ def beliefs(df: DataFrame, roles: Roles, *, rounds: int = 500, close: float = 1e
     sources to "says half of what is true, and seldom what is not" until their own record is longer.
     """
     fields = [c.name for c in roles.fields]
-    facts, sources = _patterns(df, roles)
+    facts, sources = _patterns(claims, carried)
     place = F.create_map(*[x for i, f in enumerate(fields) for x in (F.lit(f), F.lit(i))])
     facts = stored(facts.withColumn("i", place[F.col("f")]))
     counts = stored(facts.groupBy("i", "says", "denies").agg(F.count("*").alias("n")))
     counts = counts.coalesce(max(1, counts.count() // 50_000))  # a round over few patterns is one short task
-    k, m, sc = len(fields), len(sources), df.sparkSession.sparkContext
+    k, m, sc = len(fields), len(sources), claims.sparkSession.sparkContext
     quality, prior, moved, done = np.tile([0.6, 0.9], (k, m, 1)), np.full(k, 0.5), 1.0, 0
     seen = np.zeros((k, m), dtype=bool)
     while moved > close and done < rounds and m:
@@ -147,7 +151,7 @@ def beliefs(df: DataFrame, roles: Roles, *, rounds: int = 500, close: float = 1e
         return pd.Series(_chances(i.to_numpy(np.int64), says, denies, *held.value))
 
     known = {(fields[a], sources[b]): (float(quality[a, b, 0]), float(quality[a, b, 1])) for a, b in zip(*np.nonzero(seen))}
-    return facts.select("g", "f", "v", chance("i", "says", "denies").alias("belief")), Model(known, moved <= close or not m, done)
+    return facts.withColumn("belief", chance("i", "says", "denies")).drop("i", "says", "denies"), Model(known, moved <= close or not m, done)
 
 
 def true_values(df: DataFrame, roles: Roles, *, least: float = 0.5) -> DataFrame:
@@ -165,26 +169,20 @@ def survivors(df: DataFrame, trust: DataFrame, roles: Roles, *, least_rows: int
     equal ones the least).
 
     trust: source and trust (0 for any other source and for none). The greatest are kept on the map
-    side, first by value, then by group, so a group of any size is no burden.
+    side, first by value, then by group and field, so a group of any size is no burden.
     """
-    found, model = beliefs(df, roles)
+    t = stored(trust.where(F.col(roles.source).isNotNull()).groupBy(F.col(roles.source).alias("_s")).agg(F.max("trust").alias("_trust")))
+    filled = sum((F.col(c).isNotNull().cast("int") for c in roles.complete), F.lit(0))
+    order = F.struct(F.coalesce("_trust", F.lit(0)).alias("a"), F.col(roles.recency).alias("b"), filled.alias("c"), (-F.col(roles.row)).alias("d"))
+    rows = joined(df, t, F.col(roles.source) == F.col("_s"), "left").withColumn("_order", order)
+    found, model = _beliefs(_claims(rows, roles, "_order"), roles, F.max(F.struct("_order", "value")).alias("top"))
     if not model.converged:
         warnings.warn(f"the model of the sources still moves after {model.rounds} rounds", stacklevel=2)
-    found = stored(found).select(F.col("g").alias("g2"), F.col("f").alias("f2"), F.col("v").alias("v2"), "belief")
-    t = stored(trust.where(F.col(roles.source).isNotNull()).groupBy(F.col(roles.source).alias("s")).agg(F.max("trust").alias("trust")))
-    filled = sum((F.col(c).isNotNull().cast("int") for c in roles.complete), F.lit(0))
-    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c.name).alias("f"), F.when(c.usable, c.text).alias("v"), c.value.alias("value")) for i, c in enumerate(roles.fields)])
-    rows = joined(df.select(F.col(roles.group).alias("g"), F.col(roles.row).alias("row"), F.col(roles.source).alias("s"), F.col(roles.recency).alias("at"), filled.alias("filled"), each.alias("e")), t, "s", "left")
-    order = F.struct(F.coalesce("trust", F.lit(0)).alias("a"), F.col("at").alias("b"), F.col("filled").alias("c"), (-F.col("row")).alias("d"))
-    claims = rows.select("g", order.alias("order"), F.explode("e").alias("e")).where("e.v is not null or e.i = 0")  # all rows of a group count
-    values = claims.groupBy("g", "e.i", "e.f", "e.v").agg(F.count("*").alias("n"), F.max(F.struct("order", "e.value")).alias("top"))
-    values = values.join(found, F.col("g").eqNullSafe(F.col("g2")) & (F.col("f") == F.col("f2")) & (F.col("v") == F.col("v2")), "left")
-    kept, most = F.struct("top.order", F.round("belief", 6).alias("sure"), "v", "top.value", "belief"), F.struct(-F.col("belief"), "v")
-    of = [(F.col("i") == i) & F.col("v").isNotNull() for i in range(len(roles.fields))]
-    groups = values.groupBy("g").agg(F.sum(F.when(F.col("i") == 0, F.col("n"))).alias("rows"), *[F.max(F.when(x, kept)).alias(f"f{i}") for i, x in enumerate(of)], *[F.min_by("v", F.when(x, most)).alias(f"b{i}") for i, x in enumerate(of)])
-    each = F.array(*[F.struct(F.lit(c.name).alias("f"), (-F.col(f"f{i}.order.d")).alias("row"), F.col(f"f{i}.v").alias("v"), F.col(f"f{i}.value").alias("value"), F.col(f"f{i}.belief").alias("belief"), F.col(f"b{i}").alias("best")) for i, c in enumerate(roles.fields)])
-    one = groups.where(F.col("rows") >= least_rows).select("g", F.explode(each).alias("e")).where("e.row is not null")
-    return one.select(F.col("g").alias(roles.group), F.col("e.f").alias("field_name"), F.col("e.row").alias(roles.row), "e.value", "e.belief", F.col("e.v").alias("text"), "e.best")
+    kept, most = F.struct("top._order", F.round("belief", 6).alias("sure"), "v", "top.value", "belief"), F.struct(-F.col("belief"), "v")
+    best = found.groupBy("g", "f").agg(F.max(kept).alias("e"), F.min_by("v", most).alias("best"))
+    large = df.groupBy(F.col(roles.group).alias("g2")).count().where(F.col("count") >= least_rows)
+    best = best.where("e._order.d is not null").join(large, F.col("g").eqNullSafe(F.col("g2")), "left_semi")
+    return best.select(F.col("g").alias(roles.group), F.col("f").alias("field_name"), (-F.col("e._order.d")).alias(roles.row), "e.value", "e.belief", F.col("e.v").alias("text"), "best")
 
 
 def agreement(found: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def test_the_rows_found_rest_on_the_model(spark, rows, tmp_path):
     from rankloom.llm.queries import QUERIES
 
     data = [row(1, 1, "mid", T[0], down=5), row(2, 1, "high", T[1], down=6), row(3, 1, None, T[2], down=5)]
-    rows(data, SCHEMA).write.parquet(f"{tmp_path}/catalog_rows.parquet")
+    rows(data, SCHEMA).drop("belief").write.parquet(f"{tmp_path}/catalog_rows.parquet")
     rows([("high", 5), ("mid", 3)], "collector string, trust int").write.parquet(f"{tmp_path}/collectors.parquet")
     got = QUERIES["p5_found"](spark, str(tmp_path))
     assert "belief" in got._jdf.queryExecution().optimizedPlan().toString()
